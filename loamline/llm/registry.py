@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, token_counts, url_filter
+from . import media, mixing, ngram_join, packing, token_counts, url_filter
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file()).drop("ids")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(), 512)
 
@@ -42,7 +46,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_packing, op5_token_counts, op6_media_columns, op7_mixing)}
+    return {f.__name__: f for f in (op1_url_filters, op2_packing, op4_ngram_jaccard_join, op5_token_counts, op6_media_columns, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
