@@ -1,8 +1,61 @@
-"""Placeholder stages; filled as the operators arrive."""
+"""A corpus pipeline of four stages over ``documents``, each one operator of ``loamline.llm``.
 
-STAGES = []
+Every stage takes what its predecessor kept.  All but the last return the columns of
+``documents``; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamline.llm import language, mixing, ngram_join, packing
+from loamline.llm.common import Stash, checked_broadcast, table
+from loamline.llm.registry import tokenizer_file
+
+#: Predictions with a lower calibrated probability are rejected.
+LEAST_SURE = 0.5
+
+#: The stages learn, sample and number rows in ways SQL does not express; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without a letter or with an unsure prediction go.
+
+    Rows without an id cannot be told apart by the later stages and go too.
+    """
+    said = language.identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SURE)).select("doc_id").distinct()
+    gone = Stash(spark, "identified").save(said, "gone")
+    return docs.where("doc_id is not null").join(checked_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the least id; rows that repeat an id are one."""
+    found = ngram_join.ngram_components(docs)
+    gone = Stash(spark, "distinct").save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(checked_broadcast(gone), "doc_id", "left_anti")
+    return kept.dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; those with 0 copies go."""
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    taken = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in windows of 1024."""
+    return packing.pack(docs, tokenizer_file()).drop("ids")
+
+
+STAGES = [("language", identified), ("ngram_join", distinct_texts), ("mixing", mixed), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what a stage keeps is written as Parquet and read by the next."""
+    docs, stash = table(spark, sf_dir, "documents"), Stash(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = stash.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
