@@ -1 +1 @@
-"""functions"""
+"""Fields, fingerprints and hashes as Column expressions."""

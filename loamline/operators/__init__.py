@@ -1 +1 @@
-"""operators"""
+"""Joins, storage and comparison of journal and trace rows."""

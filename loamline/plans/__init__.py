@@ -1 +1 @@
-"""plans"""
+"""Queries as functions of frames."""

@@ -1 +1 @@
-"""sources"""
+"""Scanners of journals, trace logs and their companions."""

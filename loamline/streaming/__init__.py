@@ -1 +1 @@
-"""streaming"""
+"""Following growing files."""
