@@ -150,7 +150,7 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     Users (1) and metadata (5) have a GUID before their name and need four parts; types from 9
     on are no dictionary.  Entries are lines, the first two of which are the header.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("line_no", "line")).where("line_no >= 2")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("line_no", "line")).where("line_no >= 2")
     body = F.regexp_extract(F.trim("line"), r"^\{(.*)\},?$", 1)
     parts = F.transform(F.regexp_extract_all(body, F.lit(r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"))
     rows = lines.select("line_no", parts.alias("p")).withColumn("object_type", F.get("p", F.lit(0)).try_cast("int"))
@@ -170,7 +170,7 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
     Pairs of a GUID and a quoted name; the first is the cluster, the others its infobases.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     pair = r'\{([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}),"([^"]+)"'
     rows = text.select(F.monotonically_increasing_id().alias("file"), F.regexp_extract_all("value", F.lit(pair), F.lit(1)).alias("guids"), F.regexp_extract_all("value", F.lit(pair), F.lit(2)).alias("names"))
     rows = rows.where(F.size("guids") > 0).select("file", F.get("guids", F.lit(0)).alias("cluster_guid"), F.get("names", F.lit(0)).alias("cluster_name"), F.posexplode(F.arrays_zip("guids", "names")).alias("at", "pair"))
