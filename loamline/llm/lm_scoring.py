@@ -18,12 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash, checked_broadcast
 from .shingles import mixed, word_hashes
 
+#: Tasks whose sums meet in one task of the next step.
+FAN = 128
+
 #: Classes of words and of word pairs; slices that their counts are summed in.
 WORDS, PAIRS, SLICES = 1 << 19, 1 << 21, 64
 #: Prior count of a word class, and of a context.
@@ -38,7 +42,11 @@ def classes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(docs: DataFrame, stash: Stash) -> np.ndarray:
-    """Counts of all classes (words, then pairs) in all rows and in those with ``wanted``."""
+    """Counts of all classes (words, then pairs) in all rows and in those with ``wanted``.
+
+    A slice's sums are added in steps, each over the tasks of a group, so that no task
+    reads what all others send.
+    """
     size = (WORDS + PAIRS) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,20 +60,23 @@ def counts(docs: DataFrame, stash: Stash) -> np.ndarray:
         if total.any():
             for k in range(SLICES):
                 part = np.ascontiguousarray(total[:, k * size : (k + 1) * size])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId() // FAN], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "part", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, raw in zip(batch.column("slice").to_pylist(), batch.column("sums"), strict=True):
+            for k, part, raw in zip(batch.column("slice").to_pylist(), batch.column("part").to_pylist(), batch.column("sums"), strict=True):
                 width = 4 if raw.as_buffer().size == 8 * size else 8
                 own = np.frombuffer(raw.as_buffer(), f"<i{width}")
-                total[k] = total[k] + own if k in total else own.astype(np.int64)
-        for k, sums in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums.astype("<i8").tobytes()], pa.binary())], ["slice", "sums"])
-
-    schema = "slice int, sums binary"
-    parts = docs.mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema)
+                total[k, part] = total[k, part] + own if (k, part) in total else own.astype(np.int64)
+        for (k, part), sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part // FAN], pa.int32()), pa.array([sums.astype("<i8").tobytes()], pa.binary())], ["slice", "part", "sums"])
+
+    schema = "slice int, part int, sums binary"
+    parts = docs.mapInArrow(count, schema)
+    for _ in range(2):
+        parts = parts.repartition("slice", "part").mapInArrow(add, schema)
+    parts = parts.repartition(SLICES, "slice").withColumn("part", F.lit(0)).mapInArrow(add, schema)
     total = np.zeros((2, WORDS + PAIRS), np.int64)
     for row in stash.save(parts, "counts").toLocalIterator():
         total[:, row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row["sums"], "<i8").reshape(2, size)
