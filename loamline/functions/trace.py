@@ -57,8 +57,8 @@ def hourly_stamp(head: Column, hour: Column) -> tuple[Column, Column]:
 
 
 def is_plain(line: Column) -> Column:
-    start = F.substring(line, 1, 20)
-    return (F.length(line) > 20) & start.contains("T") & F.substring(line, 1, 10).contains("-")
+    """Whether a line starts with a whole date; others start with minutes of their file's hour."""
+    return line.rlike(r"^\d{4}-\d{2}-\d{2}T")
 
 
 def file_hour(name: Column) -> Column:
