@@ -253,7 +253,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, id_col: str = "
 
     Vectors link if they have the same label and a cosine of at least ``threshold``;
     ``component_id`` is the least id that links reach.  Null, zero and non-finite vectors,
-    vectors with null components and those with a null label link with nothing.  Vectors of
+    vectors with null components and those with a null label or id link with nothing.  Vectors of
     different dimensions are never compared.
     Rows that repeat an id and vector count as copies of it; an empty table gives an empty
     result.
@@ -262,7 +262,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, id_col: str = "
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    usable = F.col("label").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
+    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("mark", F.when(usable, F.xxhash64("label", "v")))
     valid = rows.where("mark is not null")
     classes = valid.groupBy("mark", "label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -307,4 +307,4 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, id_col: str = "
     linked = valid.select("id", "mark", "label", "v").join(known, ["mark", "label", "v"]).select("id", "n_links", "component_id")
     alone = rows.where("mark is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -199,12 +199,13 @@ def ngram_components(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_i
 
     Rows are linked when 100 * |A and B| >= percent * |A or B| for their sets of five-word
     shingles.  Texts without words, null and empty ones have no shingles and no links.
-    Equal texts are linked; rows that repeat an id count as one document.  An empty table
-    gives an empty result; further columns are not read.
+    Equal texts are linked; rows that repeat an id count as one document.  A row without an
+    id links nothing and has the component of its text, or null.  An empty table gives an
+    empty result; further columns are not read.
     """
     stash = Stash(docs.sparkSession, "ngrams")
     marks = stash.save(marked(docs, percent, id_col, text_col), "marks")
-    classes = marks.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc", "n", "sketch", "keys")).alias("x"))
+    classes = marks.where("n > 0 and doc is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc", "n", "sketch", "keys")).alias("x"))
     reps = stash.save(classes.select("h1", "h2", "x.*"), "reps")
     keyed = reps.select("doc", F.explode("keys").alias("key"))
     shared = stash.save(keyed.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "shared")
