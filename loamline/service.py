@@ -12,6 +12,7 @@ import shutil
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta, timezone
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -200,3 +201,35 @@ class Service:
         for line in lines:
             if line.strip() and (answer := self.answer(line)) is not None:
                 yield json.dumps(answer, ensure_ascii=False)
+
+
+def server(service: Service, port: int, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+    """An HTTP server: ``GET /health``, and ``POST /tools/<name>`` with a tool's arguments as JSON."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def reply(self, code: int, text: str) -> None:
+            body = text.encode("utf-8")
+            self.send_response(code)
+            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self) -> None:
+            self.reply(200, '{"status": "ok"}') if self.path == "/health" else self.reply(405, '{"error": "POST only"}')
+
+        def do_POST(self) -> None:
+            tool = service.tools.get(self.path.removeprefix("/tools/"))
+            if tool is None:
+                self.reply(404, '{"error": "unknown tool"}')
+                return
+            try:
+                asked = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
+                self.reply(200, tool(asked))
+            except (Invalid, KeyError, ValueError) as error:
+                self.reply(400, json.dumps({"error": str(error)}, ensure_ascii=False))
+
+        def log_message(self, *_: Any) -> None:
+            pass
+
+    return ThreadingHTTPServer((host, port), Handler)
