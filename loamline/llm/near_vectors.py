@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, checked_broadcast
 from .components import components
 
 #: Classes of a shard, about; links of a node above and in the bottom layer; beams.
@@ -268,7 +268,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, id_col: str = "
     classes = valid.groupBy("mark", "label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = stash.save(classes.withColumn("size", F.size("v")), "classes")
     shards = classes.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards"))
-    dealt = classes.join(shards, ["label", "size"]).withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("shards")).cast("int"))
+    dealt = classes.join(checked_broadcast(stash.save(shards, "shards")), ["label", "size"]).withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("shards")).cast("int"))
 
     def build(group: pa.Table) -> pa.Table:
         ids = group["rep"].to_numpy()
@@ -284,9 +284,12 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, id_col: str = "
 
     label = classes.schema["label"].dataType.simpleString()
     schema = f"label {label}, size int, shard int, ids binary, copies binary, points binary, layers array<binary>, widths array<int>"
-    graphs = stash.save(dealt.select("label", "size", "shard", "rep", "copies", "v").groupBy("label", "size", "shard").applyInArrow(build, schema), "graphs")
+    graphs = stash.save(dealt.select("label", "size", "shard", "rep", "copies", "v").repartition("label", "size", "shard").groupBy("label", "size", "shard").applyInArrow(build, schema), "graphs")
+    # Pairs are listed without the graphs, so that a label's pairs are dealt out one by one.
+    named = lambda c: graphs.select("label", "size", F.col("shard").alias(c))
     side = lambda c, *names: graphs.select("label", "size", F.col("shard").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names])
-    pairs = side("i", "ids", "copies", "points", "layers", "widths").join(side("j", "ids", "copies", "points"), ["label", "size"]).where("i <= j")
+    pairs = named("i").join(named("j"), ["label", "size"]).where("i <= j")
+    pairs = pairs.join(side("i", "ids", "copies", "points", "layers", "widths"), ["label", "size", "i"]).join(side("j", "ids", "copies", "points"), ["label", "size", "j"]).repartition("label", "size", "i", "j")
 
     def compare(group: pa.Table) -> pa.Table:
         row = group.to_pylist()[0]
