@@ -5,8 +5,8 @@ label are dealt into shards of bounded size, and a layered small-world graph is
 each.  Every class then queries every shard of its label: a beam search starts in the top
 layer, and a query whose whole beam is above the threshold goes on with a wider beam, as
 there may be more.  In each pair of shards an audit compares some queries with an exact
-scan; while it misses a link all beams are widened, and beyond the widest beam a query is
-answered by an exact scan of the shard.  Links are verified by cosine in double precision.
+scan; while it misses a link all beams are widened, and where a beam would meet as many
+vectors as the shard has, a query is answered by an exact scan of it.  Links are verified by cosine in double precision.
 A task returns link counts and one edge per vector to a local representative, so groups of
 near copies never become all their pairs; the edges are joined into components.
 """
@@ -24,7 +24,7 @@ from .common import Stash, checked_broadcast
 from .components import components
 
 #: Classes of a shard, about; links of a node above and in the bottom layer; beams.
-SHARD, LINKS, BOTTOM, BUILD_BEAM, BEAM, WIDEST = 8192, 16, 32, 48, 32, 512
+SHARD, LINKS, BOTTOM, BUILD_BEAM, BEAM = 8192, 16, 32, 48, 32
 #: Every so manyth query is audited; queries handled at once; layers shrink by this factor.
 AUDIT, BATCH, SHRINK = 20, 512, 16
 
@@ -194,7 +194,8 @@ def links_between(graph: Graph, nodes: np.ndarray, exact: np.ndarray, threshold:
     todo, beam = np.arange(len(queries)), BEAM
     audit = np.arange(0, len(queries), AUDIT)
     want = {(int(a), int(b)) for q, n in scan(audit) for a, b in zip(*sure(q, n), strict=True)}
-    while len(todo) and beam < min(size, WIDEST + 1):
+    # A beam meets about BOTTOM nodes per entry; one that would meet a whole shard is no shorter than a scan.
+    while len(todo) and beam * BOTTOM < size:
         pairs, full = [], []
         for k in range(0, len(todo), BATCH):
             at = todo[k : k + BATCH]
