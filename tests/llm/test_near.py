@@ -159,3 +159,19 @@ def test_graph_search_recall():
     ids, _ = graph.nearest(points[::50], 96)
     want = np.argsort(-(points[::50] @ points.T), 1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids[:, :30].tolist(), want.tolist(), strict=True)]) >= 0.9
+
+
+def test_links_found_through_a_graph_equal_brute_force():
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(400, 24))
+    points = near_vectors.unit(np.concatenate([centers + rng.normal(size=centers.shape) * s for s in (0, 0.05, 0.08, 0.1, 0.12, 0.15)] + [centers[:1] + rng.normal(size=(300, 24)) * 0.03]))
+    order = rng.permutation(len(points))
+    points = points[order]
+    assert near_vectors.BEAM * near_vectors.BOTTOM < len(points)
+    graph = near_vectors.Graph(points.astype(np.float32))
+    got = [(a, b) for q, n in near_vectors.links_between(graph, points, points, 0.98, True) for a, b in zip(q.tolist(), n.tolist(), strict=True)]
+    near = points @ points.T
+    np.fill_diagonal(near, -1)
+    want = set(zip(*(x.tolist() for x in np.nonzero(near >= 0.98)), strict=True))
+    assert len(got) == len(set(got)) and not set(got) - want
+    assert len(want & set(got)) >= 0.999 * len(want)
