@@ -1,15 +1,22 @@
 """LM scoring: cross-entropy difference of a target and a background n-gram model.
 
 Both are bigram models smoothed by unigrams, matched in order, smoothing and vocabulary:
-words (A-Z in lower case) and word pairs are hashed into the same fixed number of classes
-for both.  The background is counted over all documents, the target over those of good
+words (A-Z in lower case) and word pairs, told apart by 64-bit hashes.  The background is counted over all documents, the target over those of good
 quality; the background's counts are scaled to the target's number of tokens, the
 expectation over samples of that size, so that smoothing weighs alike in both.  A
 document's own words are taken out of the counts that it is scored with.  Its score is the mean loss per token under the target model minus that
 under the background model; the lower, the closer it is to the target.
 
-Counts are summed in slices of the classes: a task sends its sums, not its words, and what
-reaches the driver has a fixed size.
+``score_counted`` keeps a count for every distinct word and pair.  Documents are dealt into
+blocks; a block sends its distinct hashes, sorted and with its counts, to buckets that each
+hold a range of all hashes.  A bucket adds up what all blocks sent, its share of a table that
+grows with the corpus, and answers each block with the sums of the hashes that it sent.  The
+block scores its documents with them.  No table is held in one place.
+
+``score`` is the same over a fixed number of hashed classes: its memory is bounded, but
+where a corpus has more words or pairs than classes they share counts, and scores change.
+Its counts are summed in slices of the classes: a task sends its sums, not its words, and
+what reaches the driver has a fixed size.
 """
 
 from __future__ import annotations
@@ -30,14 +37,22 @@ FAN = 128
 
 #: Classes of words and of word pairs; slices that their counts are summed in.
 WORDS, PAIRS, SLICES = 1 << 19, 1 << 21, 64
+#: Bytes of text of a block and for a bucket, about; the least number of each, a task adds up
+#: about twice ``BUCKETS``.
+BLOCK_BYTES, BUCKET_BYTES, BLOCKS, BUCKETS = 8 << 20, 8 << 20, 64, 16
 #: Prior count of a word class, and of a context.
 FLOOR, PRIOR = 0.5, 8.0
 
 
+def hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and of every pair of neighbours."""
+    words = word_hashes(text or "")
+    return words, mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+
+
 def classes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Word class of every token, and pair class of every token but the first."""
-    words = word_hashes(text or "")
-    pairs = mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+    words, pairs = hashes(text)
     return (words % np.uint64(WORDS)).astype(np.int64), (pairs % np.uint64(PAIRS)).astype(np.int64)
 
 
@@ -89,23 +104,136 @@ def without_own(table: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.nda
     return np.maximum(table[:, at] - weight[:, None] * n[place], 0)
 
 
-def losses(text: str | None, table: np.ndarray, totals: np.ndarray, weight: np.ndarray) -> np.ndarray | None:
+def losses(words: np.ndarray, pairs: np.ndarray, table: np.ndarray, totals: np.ndarray, weight: np.ndarray, types: int) -> np.ndarray | None:
     """Mean loss per token under the models whose counts are the rows of ``table``.
 
-    ``weight``: what an occurrence in this document added to each model's counts.
+    ``words`` and ``pairs``: columns of ``table``; ``weight``: what an occurrence in this
+    document added to each model's counts; ``types``: the number of words there are.
     """
-    words, pairs = classes(text)
     if not len(words):
         return None
     own = without_own(table, words, weight)
-    alone = (own + FLOOR) / (totals - weight * len(words) + FLOOR * WORDS)[:, None]
+    alone = (own + FLOOR) / (totals - weight * len(words) + FLOOR * types)[:, None]
     p = alone.copy()
     # Where classes collide a pair may seem more frequent than its words; it cannot be.
-    seen = np.minimum(without_own(table, WORDS + pairs, weight), np.minimum(own[:, :-1], own[:, 1:]))
+    seen = np.minimum(without_own(table, pairs, weight), np.minimum(own[:, :-1], own[:, 1:]))
     p[:, 1:] = (seen + PRIOR * alone[:, 1:]) / (own[:, :-1] + PRIOR)
     return -np.log(p).mean(1)
 
 
+def columns(found: list[np.ndarray | None], sizes: list[int]) -> dict[str, pa.Array]:
+    """The result's columns from the losses (background, target) and numbers of tokens of its rows."""
+    a, b = ([None if x is None else float(x[k]) for x in found] for k in (1, 0))
+    gap = [None if x is None else x - y for x, y in zip(a, b, strict=True)]
+    return {"n_tokens": pa.array(sizes, pa.int64()), "target_loss": pa.array(a, pa.float64()), "background_loss": pa.array(b, pa.float64()), "score": pa.array(gap, pa.float64())}
+
+
+def flagged_rows(docs: DataFrame, target: DataFrame, stash: Stash, id_col: str, text_col: str) -> DataFrame:
+    """``id, text, wanted`` of every row."""
+    wanted = stash.save(target.select(F.col(id_col).alias("wanted_id")).where("wanted_id is not null").distinct(), "target")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.join(checked_broadcast(wanted), F.col("id") == F.col("wanted_id"), "left").select("id", "text", F.col("wanted_id").isNotNull().alias("wanted"))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values byte by byte, compressed: the high bytes are mostly alike."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(cell: pa.Scalar, kind: str) -> np.ndarray:
+    raw = cell.as_py()
+    raw = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def block_hashes(group: pa.Table) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Tokens of a block's documents; of words and of pairs the distinct hashes, where each
+    occurrence is among them, and where each document's occurrences begin and end."""
+    found = [hashes(x.as_py()) for x in group["text"]]
+    out = []
+    for side in zip(*found, strict=True):
+        keys, at = np.unique(np.concatenate(side), return_inverse=True)
+        out.append((keys, at, np.cumsum([0, *map(len, side)])))
+    return [len(x[0]) for x in found], out
+
+
+def answers(flagged: DataFrame, stash: Stash, buckets: int) -> DataFrame:
+    """``block, kind, bucket, sums`` for every block, and with block -1 what all sum up to."""
+    bounds = np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], np.uint64)
+
+    def ask(group: pa.Table) -> pa.Table:
+        wanted = group["wanted"].to_numpy()
+        rows: dict[str, list] = {"block": [], "kind": [], "bucket": [], "hashes": [], "counts": []}
+        for kind, (keys, at, ends) in enumerate(block_hashes(group)[1]):
+            counts = np.stack([np.bincount(at, minlength=len(keys)), np.bincount(at[np.repeat(wanted, np.diff(ends))], minlength=len(keys))])
+            cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if b > a:
+                    steps = np.diff(keys[a:b], prepend=np.uint64(0))
+                    for name, value in (("block", group["block"][0].as_py()), ("kind", kind), ("bucket", k), ("hashes", packed(steps)), ("counts", packed(counts[:, a:b].astype("<i8")))):
+                        rows[name].append(value)
+        return pa.table({n: pa.array(rows[n], t) for n, t in (("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()))})
+
+    def add(group: pa.Table) -> pa.Table:
+        kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
+        sent = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in group["hashes"]]
+        counts = np.concatenate([unpacked(x, "<i8").reshape(2, -1) for x in group["counts"]], 1)
+        keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+        # Sums of whole numbers below 2**53 are exact.
+        sums = np.stack([np.bincount(at, c, len(keys)).astype("<i8") for c in counts])
+        ends = np.cumsum([0, *map(len, sent)]).tolist()
+        back = [packed(sums[:, at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({
+            "block": pa.array([*group["block"].to_pylist(), -1], pa.int32()), "kind": pa.array([kind] * (len(back) + 1), pa.int32()), "bucket": pa.array([bucket] * (len(back) + 1), pa.int32()),
+            "sums": pa.array([*back, packed(np.array([len(keys), *sums.sum(1)], "<i8"))], pa.binary()),
+        })
+
+    asked = flagged.groupBy("block").applyInArrow(ask, "block int, kind int, bucket int, hashes binary, counts binary")
+    asked = asked.repartition(-(-buckets // BUCKETS), "kind", "bucket")
+    return stash.save(asked.groupBy("kind", "bucket").applyInArrow(add, "block int, kind int, bucket int, sums binary"), "answers")
+
+
+def score_counted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``score`` gives, with a count of its own for every distinct word and pair.
+
+    The vocabulary is as large as there are distinct words, ``WORDS`` at least.
+    """
+    stash = Stash(docs.sparkSession, "lm")
+    flagged = flagged_rows(docs, target, stash, id_col, text_col)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    flagged = flagged.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(BLOCKS, -(-size // BLOCK_BYTES)))).cast("int"))
+    replies = answers(flagged, stash, max(BUCKETS, -(-size // BUCKET_BYTES)))
+    # Files of past shuffles go when the driver collects its garbage; those to come are as large.
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    types, tokens = 0, np.zeros(2, np.int64)
+    for row in replies.where("block = -1 and kind = 0").toLocalIterator():
+        n, *both = unpacked(pa.scalar(bytes(row["sums"])), "<i8").tolist()
+        types, tokens = types + n, tokens + both
+    types = max(types, WORDS)
+    scale = float(tokens[1] / tokens[0]) if tokens[0] else 0.0
+
+    def judge(group: pa.Table, told: pa.Table) -> pa.Table:
+        sizes, sides = block_hashes(group) if len(group) else ([], [])
+        tables, told = [np.empty((2, 0))], told.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        kinds = told["kind"].to_numpy()
+        for kind, (keys, _, _) in enumerate(sides):
+            sums = [unpacked(x, "<i8").reshape(2, -1) for x in told["sums"].filter(pa.array(kinds == kind))]
+            tables.append(np.concatenate([np.empty((2, 0), np.int64), *sums], 1) * np.array([[scale], [1.0]]))
+            if tables[-1].shape[1] != len(keys):
+                raise ValueError("a block was not answered in full")
+        table, found = np.concatenate(tables, 1), []
+        for k, wanted in enumerate(group["wanted"].to_pylist()):
+            words, pairs = (at[ends[k] : ends[k + 1]] for _, at, ends in sides)
+            found.append(losses(words, len(sides[0][0]) + pairs, table, np.full(2, float(tokens[1])), np.array([scale, float(wanted)]), types))
+        return pa.table({"id": group["id"], **columns(found, sizes)})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, n_tokens long, target_loss double, background_loss double, score double"
+    scored = flagged.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(judge, schema)
+    return scored.withColumnRenamed("id", id_col)
+
+
 def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_tokens, target_loss, background_loss, score`` of every row.
 
@@ -115,9 +243,7 @@ def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     stash = Stash(spark, "lm")
-    wanted = stash.save(target.select(F.col(id_col).alias("wanted_id")).where("wanted_id is not null").distinct(), "target")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    flagged = texts.join(checked_broadcast(wanted), F.col("id") == F.col("wanted_id"), "left").select("id", "text", F.col("wanted_id").isNotNull().alias("wanted"))
+    flagged = flagged_rows(docs, target, stash, id_col, text_col)
     total = counts(flagged.select("text", "wanted"), stash)
     tokens = total[:, :WORDS].sum(1)
     scale = float(tokens[1] / tokens[0]) if tokens[0] else 0.0
@@ -126,16 +252,12 @@ def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, totals = model.value, np.full(2, float(tokens[1]))
         for batch in batches:
-            n, a, b = [], [], []
+            found, n = [], []
             for cell, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-                text = cell.as_py()
-                found = losses(text, table, totals, np.array([scale, float(wanted)]))
-                n.append(0 if found is None else len(word_hashes(text)))
-                a.append(None if found is None else float(found[1]))
-                b.append(None if found is None else float(found[0]))
-            gap = [None if x is None else x - y for x, y in zip(a, b, strict=True)]
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, t) for c, t in zip((n, a, b, gap), kinds, strict=True)]], ["id", "n_tokens", "target_loss", "background_loss", "score"])
+                words, pairs = classes(cell.as_py())
+                found.append(losses(words, WORDS + pairs, table, totals, np.array([scale, float(wanted)]), WORDS))
+                n.append(len(words))
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), **columns(found, n)})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return flagged.mapInArrow(judge, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)

@@ -59,7 +59,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm_scoring.score(table(spark, sf_dir, "documents"), target)
+    return lm_scoring.score_counted(table(spark, sf_dir, "documents"), target)
 
 
 QUERIES = (
