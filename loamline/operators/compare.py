@@ -6,12 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Places that the order is cut at, so that no task numbers all rows.
+CUTS = 200
+
+
 def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
-    """Rows with their place from 1; the order's ranges are counted first, so no task holds all rows."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    spread = spread.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    """Rows with their place from 1; the order's ranges are counted first, so no task holds all rows.
+
+    The ranges are cut at the keys with the least hashes.  A row's range so depends on its key
+    alone: partitions' numbers differ from one pass over the same rows to the next.
+    """
+    key = F.struct(*order)
+    least = rows.select(key.alias("key")).distinct().orderBy(F.xxhash64("key"), "key").limit(CUTS)
+    cuts = least.agg(F.sort_array(F.collect_list("key")).alias("cuts"))
+    spread = rows.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda cut: cut <= key))).drop("cuts")
     sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    spread = spread.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     return spread.join(F.broadcast(before.select("part", "before")), "part").withColumn(name, F.col("before") + F.col("own")).drop("part", "own", "before")
 
 

@@ -297,6 +297,8 @@ def hashed_lines(s: SparkSession, d: str) -> DataFrame:
 add("row_hash", hashed_lines, _LINES)
 add("dedup_in_batch", lambda s, d: store.deduplicated(hashed_lines(s, d).select("record_hash")), f"select distinct record_hash from ({_LINES})")
 add("dedup_against_stored", lambda s, d: store.unseen(hashed_lines(s, d).where("l_orderkey % 3 = 0").select("record_hash"), hashed_lines(s, d).where("l_orderkey % 3 = 1")), f"with h as ({_LINES}) select distinct record_hash from h where l_orderkey % 3 = 0 and record_hash not in (select record_hash from h where l_orderkey % 3 = 1)")
+# Every row is read and belongs to one side: most orders are held against the others.
+add("dedup_all_against_stored", lambda s, d: store.unseen(hashed_lines(s, d).where("l_orderkey % 97 <> 0").select("record_hash"), hashed_lines(s, d).where("l_orderkey % 97 = 0")), f"with h as ({_LINES}) select distinct record_hash from h where l_orderkey % 97 <> 0 and record_hash not in (select record_hash from h where l_orderkey % 97 = 0)")
 add("repeated_hashes", lambda s, d: compare.repeated(hashed_lines(s, d)).select("record_hash", "copies"), f"select record_hash, count(*) as copies from ({_LINES}) group by 1 having count(*) > 1")
 
 
@@ -313,6 +315,21 @@ add(
     "z as (select place, a.event_id is not null as in_a, b.event_id is not null as in_b, case when in_a and in_b then concat_ws(',', case when abs(epoch(a.event_time) - epoch(b.event_time)) > 60 then 'event_time' end, case when not (starts_with(a.user_name, b.user_name) or starts_with(b.user_name, a.user_name)) then 'user_name' end, "
     "case when not (starts_with(a.comment, b.comment) or starts_with(b.comment, a.comment)) then 'comment' end) else '' end as differs from a full join b using (place)) select place, case when not in_b then 'missing' when not in_a then 'extra' when differs <> '' then 'differs' else 'same' end as status, differs from z",
 )
+
+
+def zipped_all(s: SparkSession, d: str) -> DataFrame:
+    rows = evlog(s, d).select("event_id", "event_time", "user_name", "comment")
+    other = rows.where("event_id % 3 <> 1 or event_id < 5000").withColumn("user_name", F.when(F.col("event_id") % 100 == 0, F.lit("someone")).otherwise(F.col("user_name")))
+    return compare.compared(rows, other, ["event_id"], "event_time", ["user_name", "comment"]).select("place", "status", F.array_join("differs", ",").alias("differs"))
+
+
+add(
+    "compare_all_by_place",
+    zipped_all,
+    EV.rstrip() + ", a as (select row_number() over (order by event_id) as place, * from evlog), b as (select row_number() over (order by event_id) as place, event_id, event_time, case when event_id % 100 = 0 then 'someone' else user_name end as user_name, comment from evlog where event_id % 3 <> 1 or event_id < 5000), "
+    "z as (select place, a.event_id is not null as in_a, b.event_id is not null as in_b, case when in_a and in_b then concat_ws(',', case when abs(epoch(a.event_time) - epoch(b.event_time)) > 60 then 'event_time' end, case when not (starts_with(a.user_name, b.user_name) or starts_with(b.user_name, a.user_name)) then 'user_name' end, "
+    "case when not (starts_with(a.comment, b.comment) or starts_with(b.comment, a.comment)) then 'comment' end) else '' end as differs from a full join b using (place)) select place, case when not in_b then 'missing' when not in_a then 'extra' when differs <> '' then 'differs' else 'same' end as status, differs from z",
+)
 add("table_counts", lambda s, d: guides.table_counts({n: read(n)(s, d) for n in ("events", "orders", "documents")}), "select 'events' as table_name, count(*) as row_count from events union all select 'orders', count(*) from orders union all select 'documents', count(*) from documents")
 add("url_parts", lambda s, d: read("pages", "page_id", "url")(s, d).select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("host")), "select page_id, split_part(url, '/', 3) as host from pages")
 add("json_properties", lambda s, d: read("events", "event_id", "props")(s, d).select("event_id", F.element_at(trace.last_wins(F.map_entries(F.from_json("props", "map<string,string>"))), "k").alias("k")), "select event_id, json_extract_string(props, '$.k') as k from events")
