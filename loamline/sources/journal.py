@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,12 +79,35 @@ class JournalReader(DataSourceReader):
         yield from read_records(self.root, part.path, part.start, part.stop, self.keep_empty)
 
 
+def last_record(file, done: int, size: int, most: int) -> int:
+    """Where the last whole record of about ``most`` bytes from ``done`` ends; more are read until one fits."""
+    skip = 0 if done else framing.body_start(file.read_at(min(size, 4096), 0))
+    while True:
+        data, last = file.read_at(min(most, size - done), done), 0
+        for last, _ in framing.records(data, skip):
+            pass
+        if last or done + len(data) >= size:
+            return done + last
+        most *= 2
+
+
+def reached(step: Callable[[int], int], done: int, until_end: bool) -> int:
+    """The offset after one step from ``done``; with ``until_end`` that from which no step goes on."""
+    while (after := step(done)) > done and until_end:
+        done = after
+    return after
+
+
 class JournalStream(DataSourceStreamReader):
-    """Offsets are bytes per file, at the end of a whole record; a file that shrank starts anew."""
+    """Offsets are bytes per file, at the end of a whole record; a file that shrank starts anew.
+
+    With ``untilend`` the latest offset is the end of what the files hold: a run that ends
+    asks for it once only.
+    """
 
     def __init__(self, options: dict):
         self.root, self.keep_empty = options["path"], options.get("strict", "false").lower() != "true"
-        self.most = int(options.get("maxbytesperfile", BATCH_BYTES))
+        self.most, self.until_end = int(options.get("maxbytesperfile", BATCH_BYTES)), options.get("untilend", "false").lower() == "true"
         self.known: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
@@ -97,10 +120,7 @@ class JournalStream(DataSourceStreamReader):
             done = 0 if size < done else done
             if size > done:
                 with system.open_input_file(path) as file:
-                    skip = 0 if done else framing.body_start(file.read_at(min(size, 4096), 0))
-                    data = file.read_at(min(self.most, size - done), done)
-                    ends = [end for end, _ in framing.records(data, skip)]
-                done += ends[-1] if ends else 0
+                    done = reached(lambda at: last_record(file, at, size, self.most), done, self.until_end)
             self.known[path] = done
         return {"files": json.dumps(self.known, sort_keys=True)}
 
@@ -123,7 +143,8 @@ class JournalStream(DataSourceStreamReader):
 
 
 class JournalSource(DataSource):
-    """Options: ``path``; ``strict`` (true: empty tokens are left out, as other readers do)."""
+    """Options: ``path``; ``strict`` (true: empty tokens are left out, as other readers do);
+    of streams ``maxbytesperfile`` and ``untilend`` (true: a batch takes all there is)."""
 
     @classmethod
     def name(cls) -> str:

@@ -21,16 +21,35 @@ from ..functions import journal as fields
 from ..functions import trace
 from ..operators import enrich, store
 from ..sources import journal
-from ..sources.journal import FilePart, file_system, files_under
+from ..sources.journal import FilePart, file_system, files_under, reached
 
 POLL = "500 milliseconds"
 
 
+#: Bytes looked at at once for the last line's end.
+BACK = 1 << 20
+
+
+def last_line(file, done: int, size: int, most: int) -> int:
+    """Where the last whole line of about ``most`` bytes from ``done`` ends; more are read until one fits."""
+    while True:
+        end = at = min(size, done + most)
+        while at > done:
+            begin = max(done, at - BACK)
+            if (cut := file.read_at(at - begin, begin).rfind(b"\n")) >= 0:
+                return begin + cut + 1
+            at = begin
+        if end >= size:
+            return done
+        most *= 2
+
+
 class LogStream(DataSourceStreamReader):
     """Lines appended to ``.log`` files; offsets are bytes at the end of a line, and a shrunk file starts anew."""
 
     def __init__(self, options: dict):
         self.root, self.most = options["path"], int(options.get("maxbytesperfile", journal.BATCH_BYTES))
+        self.until_end = options.get("untilend", "false").lower() == "true"
         self.known: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
@@ -43,11 +62,7 @@ class LogStream(DataSourceStreamReader):
             done = 0 if size < done else done
             if size > done:
                 with system.open_input_file(path) as file:
-                    end = min(size, done + self.most)
-                    # Only the last bytes are looked at: a line's end is near.
-                    at = max(done, end - (1 << 20))
-                    cut = file.read_at(end - at, at).rfind(b"\n")
-                done = at + cut + 1 if cut >= 0 else done
+                    done = reached(lambda at: last_line(file, at, size, self.most), done, self.until_end)
             self.known[path] = done
         return {"files": json.dumps(self.known, sort_keys=True)}
 
@@ -92,7 +107,7 @@ def _start(rows: DataFrame, save: Callable[[DataFrame, int], None], checkpoint:
 def follow_traces(spark: SparkSession, folder: str, table: str, checkpoint: str, names: DataFrame | None = None, follow: bool = True) -> StreamingQuery:
     """Stores a folder's trace records as they are written; ``follow=False`` stops when all is read."""
     spark.dataSource.register(LogSource)
-    lines = spark.readStream.format("tracelog").load(folder)
+    lines = spark.readStream.format("tracelog").option("untilend", not follow).load(folder)
 
     def save(batch: DataFrame, _: int) -> None:
         rows = trace.tech_records(batch)
@@ -105,7 +120,7 @@ def follow_traces(spark: SparkSession, folder: str, table: str, checkpoint: str,
 def follow_journal(spark: SparkSession, location: dict, table: str, checkpoint: str, names: dict | None = None, follow: bool = True) -> StreamingQuery:
     """Stores a journal's records as they are written; the dictionary is read anew for each batch."""
     spark.dataSource.register(journal.JournalSource)
-    records = spark.readStream.format("journal").load(location["path"])
+    records = spark.readStream.format("journal").option("untilend", not follow).load(location["path"])
     shown = {"cluster_guid": "", "cluster_name": "", "infobase_name": ""} | (names or {}) | {"infobase_guid": location["infobase_guid"]}
 
     def save(batch: DataFrame, _: int) -> None:
