@@ -39,7 +39,9 @@ class PrefixCounter:
         self.pairs, self.known = pairs, pairs.ranks
         self.longest = max(map(len, self.known))
         self.follows: dict[tuple[bytes, bytes], bool] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.special = sorted(pairs.special, key=len, reverse=True)
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
     def _stable(self, before: bytes, token: bytes) -> bool:
         """Whether ``token`` keeps its form after ``before`` (empty: at the start)."""
@@ -51,9 +53,8 @@ class PrefixCounter:
             known = self.follows[key] = self.pairs.encoding._encode_single_piece(before + token) == want
         return known
 
-    def _piece(self, piece: str) -> np.ndarray:
-        """The recurrence over one pre-token: entry k is of its first k + 1 characters."""
-        raw = piece.encode("utf-8")
+    def _solved(self, raw: bytes) -> tuple[list[int], list[bytes]]:
+        """The recurrence over one pre-token: tokens of every prefix, and the last of them."""
         count, last = [0], [b""]
         for i in range(1, len(raw) + 1):
             for size in range(min(i, self.longest), 0, -1):
@@ -62,8 +63,29 @@ class PrefixCounter:
                     count.append(count[i - size] + 1)
                     last.append(token)
                     break
+        return count, last
+
+    def _piece(self, piece: str) -> np.ndarray:
+        """Entry k is of the first k + 1 characters of a pre-token."""
+        count, _ = self._solved(piece.encode("utf-8"))
         return np.array(count, np.int64)[np.cumsum([len(c.encode("utf-8")) for c in piece])]
 
+    def _sizes(self, piece: str) -> list[int]:
+        """Bytes of the tokens of one pre-token: its prefixes' last tokens, from the end back."""
+        if (known := self.pieces.get(piece)) is None:
+            raw = piece.encode("utf-8")
+            _, last = self._solved(raw)
+            known, at = [], len(raw)
+            while at:
+                known.append(len(last[at]))
+                at -= known[-1]
+            known.reverse()
+            if len(piece) <= 64:
+                if len(self.pieces) > 500_000:
+                    self.pieces.clear()
+                self.pieces[piece] = known
+        return known
+
     def _plain(self, text: str) -> int:
         return sum(int(self._piece(m)[-1]) for m in _PIECES.findall(text))
 
@@ -104,7 +126,14 @@ class PrefixCounter:
 
     def ends(self, text: str) -> np.ndarray:
         """Entry k: the byte at which token k of the whole text ends, its prefix having k + 1 tokens."""
-        return np.cumsum(self.pairs.sizes[self.pairs.ids(text)])
+        sizes: list[int] = []
+        for k, part in enumerate(self.marks.split(text) if self.special else [text]):
+            if k % 2:
+                sizes.append(len(part.encode("utf-8")))
+            else:
+                for piece in _PIECES.findall(part):
+                    sizes += self._sizes(piece)
+        return np.cumsum(np.array(sizes, np.int64))
 
     @staticmethod
     def cut_before(text: str, chars: int) -> int:
