@@ -7,6 +7,8 @@ libraries give the same ids; the tests hold them against each other.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +16,11 @@ import tiktoken
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The characters that ``\s`` of that pattern means (Unicode's White_Space).
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space from this length on are cut out before the pattern sees them, which backtracks over them.
+LONG_RUN = 4096
+_LONG = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
 
 
 def byte_letters() -> list[str]:
@@ -41,8 +48,32 @@ class BytePairs:
             self.sizes[i] = len(t)
 
     def ids(self, text: str) -> np.ndarray:
-        """Token ids (uint32) of a whole text; special strings in it are special tokens."""
-        return self.encoding.encode_to_numpy(text, allowed_special="all")
+        """Token ids (uint32) of a whole text; special strings in it are special tokens.
+
+        The pattern makes all but the last character of a run of white space one pre-token,
+        and the whole run if it ends the text: long runs are cut there, which is exact.
+        """
+        if len(text) < LONG_RUN or not _LONG.search(text):
+            return self.encoding.encode_to_numpy(text, allowed_special="all")
+        return np.concatenate([self.piece(part) if run else self.encoding.encode_to_numpy(part, allowed_special="all") for part, run in self.cut_at_runs(text)])
+
+    def piece(self, piece: str) -> np.ndarray:
+        """Token ids of one pre-token."""
+        return np.array(self.encoding._encode_single_piece(piece.encode("utf-8")), np.uint32)
+
+    def cut_at_runs(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The parts of a text before, in and after its long runs of white space; true for a run."""
+        at = 0
+        for found in _LONG.finditer(text):
+            end = found.end()
+            if end < len(text) and not any(text.startswith(mark, end) for mark in self.special):
+                end -= 1
+            if found.start() > at:
+                yield text[at : found.start()], False
+            yield text[found.start() : end], True
+            at = end
+        if at < len(text):
+            yield text[at:], False
 
 
 @lru_cache(maxsize=2)
