@@ -7,18 +7,23 @@ stands before it is the encoding of the prefix without ``t``::
     count[i] = count[i - len(t)] + 1
 
 where ``t`` is the one vocabulary entry ending at ``i`` that follows the last token of
-the shorter prefix without a merge across their border.  For prefixes that end with a
-token of the whole text the chain of tokens is this recurrence already solved: entry k
-of the stored table, ``ends``, is the end (in bytes) of token k, and the prefix up to
-there has exactly k + 1 tokens.  A prefix that ends elsewhere differs from the chain
-only behind the last place where the pre-tokenizer always cuts, a space after a
-character that is not white space; from there the recurrence is run over the few
-characters to the prefix's end.  So truncation ("how much fits in n tokens") and budget
-questions ("has this prefix more than n tokens") never encode a text again.
+the shorter prefix without a merge across their border.  The recurrence runs over each
+pre-token and gives the count of every prefix of it.  Two kinds of prefixes are split by
+the pre-tokenizer in another way than the whole text: one that ends within a run of white
+space (there the run so far is one pre-token), and one that cuts a contraction of three
+characters.  Both are solved with the recurrence too.
+
+The pre-tokenizer always cuts where white space follows something else.  The chunks
+between these places (white space, then what is none) do not depend on each other, so a
+text's table is joined from the tables of its chunks, most of which are remembered.  A
+table holds the change of the count at every character.  It is stored, and counts,
+truncation ("how much fits in n tokens") and budget questions ("has this prefix more than
+n tokens") are answered from it; no text is encoded a second time.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,9 +32,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .bpe import PATTERN, BytePairs, byte_pairs
+from .bpe import PATTERN, WHITE, BytePairs, byte_pairs
+from .common import Stash
 
 _PIECES = regex.compile(PATTERN)
+_CHUNKS = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_BLANK = regex.compile(f"[{WHITE}]")
+#: The pattern's contractions of three characters.
+CONTRACTIONS = ("'re", "'ve", "'ll")
+#: Chunks of up to so many characters are remembered, and how many of them by a worker.
+SHORT, REMEMBERED = 64, 500_000
 
 
 class PrefixCounter:
@@ -37,133 +49,118 @@ class PrefixCounter:
 
     def __init__(self, pairs: BytePairs):
         self.pairs, self.known = pairs, pairs.ranks
-        self.longest = max(map(len, self.known))
+        sizes: dict[bytes, set[int]] = {}
+        for token in self.known:
+            sizes.setdefault(token[-3:], {2, 1}).add(len(token))
+        #: Lengths of the entries that can end with three bytes, the longest first.
+        self.ending = {tail: tuple(sorted(own, reverse=True)) for tail, own in sizes.items()}
         self.follows: dict[tuple[bytes, bytes], bool] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.chunks: dict[str, bytes] = {}
         self.special = sorted(pairs.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
-    def _stable(self, before: bytes, token: bytes) -> bool:
-        """Whether ``token`` keeps its form after ``before`` (empty: at the start)."""
-        key = (before, token)
-        if (known := self.follows.get(key)) is None:
-            if len(self.follows) > 500_000:
-                self.follows.clear()
-            want = [self.known[x] for x in key if x]
-            known = self.follows[key] = self.pairs.encoding._encode_single_piece(before + token) == want
+    def _stable(self, key: tuple[bytes, bytes]) -> bool:
+        """Whether a token keeps its form after another (empty: at the start); the answer is remembered."""
+        if len(self.follows) > REMEMBERED:
+            self.follows.clear()
+        known = self.follows[key] = self.pairs.encoding._encode_single_piece(b"".join(key)) == [self.known[x] for x in key if x]
         return known
 
-    def _solved(self, raw: bytes) -> tuple[list[int], list[bytes]]:
-        """The recurrence over one pre-token: tokens of every prefix, and the last of them."""
+    def _piece(self, piece: str) -> list[int]:
+        """The recurrence over one pre-token: entry k is of its first k + 1 characters."""
+        raw = piece.encode("utf-8")
+        ending, known, follows = self.ending, self.known, self.follows
         count, last = [0], [b""]
         for i in range(1, len(raw) + 1):
-            for size in range(min(i, self.longest), 0, -1):
-                token = raw[i - size : i]
-                if token in self.known and self._stable(last[i - size], token):
-                    count.append(count[i - size] + 1)
-                    last.append(token)
-                    break
-        return count, last
-
-    def _piece(self, piece: str) -> np.ndarray:
-        """Entry k is of the first k + 1 characters of a pre-token."""
-        count, _ = self._solved(piece.encode("utf-8"))
-        return np.array(count, np.int64)[np.cumsum([len(c.encode("utf-8")) for c in piece])]
-
-    def _sizes(self, piece: str) -> list[int]:
-        """Bytes of the tokens of one pre-token: its prefixes' last tokens, from the end back."""
-        if (known := self.pieces.get(piece)) is None:
-            raw = piece.encode("utf-8")
-            _, last = self._solved(raw)
-            known, at = [], len(raw)
-            while at:
-                known.append(len(last[at]))
-                at -= known[-1]
-            known.reverse()
-            if len(piece) <= 64:
-                if len(self.pieces) > 500_000:
-                    self.pieces.clear()
-                self.pieces[piece] = known
-        return known
-
-    def _plain(self, text: str) -> int:
-        return sum(int(self._piece(m)[-1]) for m in _PIECES.findall(text))
-
-    def _segment(self, text: str) -> np.ndarray:
-        """Tokens of every prefix of a text without special strings.
-
-        A cut end changes at most the pre-token that it falls in and the one before, and
-        only within three characters of a pre-token's start (contractions, runs of white
-        space); those prefixes are split anew from there, the rest are inside one pre-token.
-        """
-        out, before, done = np.empty(len(text), np.int64), (0, 0), 0
-        for m in _PIECES.finditer(text):
-            start, end = m.span()
-            piece = self._piece(m[0])
-            out[start:end] = done + piece
-            for p in range(start + 1, min(start + 3, end) + 1):
-                out[p - 1] = before[1] + self._plain(text[before[0] : p])
-            before = (start, done)
-            done += int(piece[-1])
+            for size in ending.get(raw[max(0, i - 3) : i], (2, 1)):
+                if size <= i and (token := raw[i - size : i]) in known:
+                    key = (last[i - size], token)
+                    if (fits := follows.get(key)) is None:
+                        fits = self._stable(key)
+                    if fits:
+                        count.append(count[i - size] + 1)
+                        last.append(token)
+                        break
+        if len(raw) == len(piece):
+            return count[1:]
+        return [count[i] for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+
+    def counted(self, text: str) -> list[int]:
+        """Entry k: the tokens of the first k + 1 characters of a text without special strings."""
+        out, done, first = [], 0, None
+        pieces = _PIECES.findall(text)
+        for k, piece in enumerate(pieces):
+            after = pieces[k + 1][0] if k + 1 < len(pieces) else ""
+            if after and _BLANK.match(after) and _BLANK.match(piece[-1]):
+                # The run of white space goes on: a prefix that ends behind its next character is one pre-token.
+                *own, joined = self._piece(piece + after)
+            else:
+                own, joined = self._piece(piece), None
+            end = done + own[-1]
+            if piece in CONTRACTIONS:
+                own[1] = self._piece("'")[0] + self._piece(piece[1])[0]
+            own = [done + n for n in own]
+            if first is not None:
+                own[0] = first
+            out += own
+            first, done = None if joined is None else done + joined, end
         return out
 
-    def every_prefix(self, text: str) -> np.ndarray:
-        """Entry k: the exact number of tokens of the first k + 1 characters of ``text``."""
-        parts, at, done = [np.empty(0, np.int64)], 0, 0
-        while at < len(text):
-            place, mark = min(((i, s) for s in self.special if (i := text.find(s, at)) >= 0), default=(len(text), ""))
-            begin = done
-            if place > at:
-                parts.append(begin + self._segment(text[at:place]))
-                done = int(parts[-1][-1])
-            if mark:
-                # A special string that is cut is ordinary text after what stands before it.
-                cut = self._segment(text[at:place] + mark)[place - at : -1]
-                done += 1
-                parts.append(np.array([*(begin + cut), done], np.int64))
-            at = place + len(mark)
-        return np.concatenate(parts)
-
-    def ends(self, text: str) -> np.ndarray:
-        """Entry k: the byte at which token k of the whole text ends, its prefix having k + 1 tokens."""
-        sizes: list[int] = []
-        for k, part in enumerate(self.marks.split(text) if self.special else [text]):
-            if k % 2:
-                sizes.append(len(part.encode("utf-8")))
-            else:
-                for piece in _PIECES.findall(part):
-                    sizes += self._sizes(piece)
-        return np.cumsum(np.array(sizes, np.int64))
-
-    @staticmethod
-    def cut_before(text: str, chars: int) -> int:
-        """The last place up to ``chars`` where every prefix through it is cut; 0 is one."""
-        at = min(chars, len(text) - 1)
-        while at > 0 and not (text[at] == " " and not text[at - 1].isspace()):
-            at -= 1
-        return max(at, 0)
-
-    def count(self, text: str, ends: np.ndarray, chars: int) -> int:
-        """Tokens of the first ``chars`` characters, from the stored table."""
-        chars = min(chars, len(text))
-        start = self.cut_before(text, chars)
-        before = int(np.searchsorted(ends, len(text[:start].encode("utf-8")), "right"))
-        return before + (int(self.every_prefix(text[start:chars])[-1]) if chars > start else 0)
-
-    def fitting(self, text: str, ends: np.ndarray, limit: int) -> int:
-        """Characters of the longest prefix with at most ``limit`` tokens, from the stored table."""
-        if len(ends) <= limit or not text:
-            return len(text)
-        raw = text.encode("utf-8")
-        border = int(ends[limit - 1]) if limit > 0 else 0
-        near = len(raw[:border].decode("utf-8", "ignore"))
-        start = self.cut_before(text, near)
-        stop = near + 1
-        while stop < len(text) and not (text[stop] == " " and not text[stop - 1].isspace()):
-            stop += 1
-        before = int(np.searchsorted(ends, len(text[:start].encode("utf-8")), "right"))
-        fits = np.flatnonzero(before + self.every_prefix(text[start:stop]) <= limit)
-        return start + (int(fits[-1]) + 1 if len(fits) else 0)
+    def _chunk(self, chunk: str) -> bytes:
+        """Changes of the count at every character of a chunk, a byte each; empty if one needs more."""
+        every = self.counted(chunk)
+        steps = [b - a for a, b in zip([0, *every], every)]
+        known = struct.pack(f"{len(steps)}b", *steps) if max(steps) < 128 and min(steps) > -129 else b""
+        if len(chunk) <= SHORT:
+            if len(self.chunks) > REMEMBERED:
+                self.chunks.clear()
+            self.chunks[chunk] = known
+        return known
+
+    def table(self, text: str) -> bytes:
+        """The text's table: the bytes of an entry (1 or 4), then the change of the count at every character."""
+        if not self.special or not self.marks.search(text):
+            chunks = _CHUNKS.findall(text)
+            known = self.chunks
+            parts = [known.get(c) or self._chunk(c) for c in chunks]
+            if all(parts):
+                return b"\x01" + b"".join(parts)
+            steps = [np.diff(np.array(self.counted(c), np.int64), prepend=0) for c in chunks]
+        else:
+            steps, before = [], ""
+            for k, part in enumerate(self.marks.split(text)):
+                if k % 2 == 0:
+                    chunks = _CHUNKS.findall(part)
+                    steps += [np.diff(np.array(self.counted(c), np.int64), prepend=0) for c in chunks]
+                    before = chunks[-1] if chunks else ""
+                else:
+                    # A special string that is cut is ordinary text after what stands before it; whole it is one token.
+                    cut = self.counted(before + part)[len(before) : -1]
+                    done = self.counted(before)[-1] if before else 0
+                    steps.append(np.diff(np.array([*cut, done + 1], np.int64), prepend=done))
+                    before = ""
+        every = np.concatenate([np.empty(0, np.int64), *steps])
+        if np.abs(every).max(initial=0) < 128:
+            return b"\x01" + every.astype(np.int8).tobytes()
+        return b"\x04" + every.astype("<i4").tobytes()
+
+
+def prefix_counts(table: bytes) -> np.ndarray:
+    """Entry k: the exact number of tokens of a text's first k + 1 characters, from its stored table."""
+    return np.cumsum(np.frombuffer(table, f"<i{table[0]}", offset=1), dtype=np.int64)
+
+
+def count(table: bytes, chars: int) -> int:
+    """Tokens of the first ``chars`` characters."""
+    every = prefix_counts(table)
+    chars = min(chars, len(every))
+    return int(every[chars - 1]) if chars > 0 else 0
+
+
+def fitting(table: bytes, limit: int) -> int:
+    """Characters of the longest prefix with at most ``limit`` tokens."""
+    fits = np.flatnonzero(prefix_counts(table) <= limit)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
 
 @lru_cache(maxsize=2)
@@ -172,34 +169,47 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(byte_pairs(path))
 
 
-def token_counts(docs: DataFrame, path: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text", tables: bool = False) -> DataFrame:
-    """``id, n_bytes, n_tokens, over_limit`` of every row, each read off its prefix table.
+def prefix_tables(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_bytes, prefix_counts`` of every row: the exact token count at every prefix, see ``PrefixCounter.table``.
 
-    With ``tables`` the table itself follows, ``prefix_ends`` (little-endian uint32), and
-    ``fit_chars``, the length of the longest prefix with at most ``limit`` tokens.
-    Null and empty texts have no bytes, no tokens and an empty table; repeated rows give
-    repeated results; other columns are not read, whatever their names.  One narrow pass
-    without a shuffle; a lost executor's tasks are simply run again.
+    Null and empty texts have no bytes and a table without entries; a text of any length is
+    solved whole, with about 60 bytes of memory a byte of its longest pre-token.  Repeated
+    rows give repeated results, a null id stays null; other columns are not read, whatever
+    their names.  One narrow pass without a shuffle; a lost executor's tasks are run again.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path)
         for batch in batches:
-            n_bytes, n_tokens, stored, fit = [], [], [], []
-            for cell in batch.column(1):
-                text = cell.as_py() or ""
-                ends = of.ends(text)
-                n_bytes.append(int(ends[-1]) if len(ends) else 0)
-                n_tokens.append(len(ends))
-                if tables:
-                    stored.append(ends.astype("<u4").tobytes())
-                    fit.append(of.fitting(text, ends, limit))
-            tokens = pa.array(n_tokens, pa.int64())
-            made = {"id": batch.column(0), "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": tokens, "over_limit": pa.array([n > limit for n in n_tokens], pa.bool_())}
-            if tables:
-                made |= {"prefix_ends": pa.array(stored, pa.binary()), "fit_chars": pa.array(fit, pa.int64())}
-            yield pa.RecordBatch.from_pydict(made)
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            sizes = pa.array([len(x.encode("utf-8")) for x in texts], pa.int64())
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_bytes": sizes, "prefix_counts": pa.array([of.table(x) for x in texts], pa.binary())})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(solve, f"id {kind}, n_bytes long, prefix_counts binary")
+
+
+def token_counts(docs: DataFrame, path: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text", tables: bool = False) -> DataFrame:
+    """``id, n_bytes, n_tokens, over_limit, fit_chars`` of every row, each read off its stored table.
+
+    ``fit_chars`` is the length in characters of the longest prefix with at most ``limit``
+    tokens.  With ``tables`` the table itself follows, ``prefix_counts``.  The tables are
+    stored first, so that a question asked later finds them; what holds for awkward rows is
+    said at ``prefix_tables``.  An empty table gives an empty result.
+    """
+    stored = Stash(docs.sparkSession, "tokens").save(prefix_tables(docs, path, id_col=id_col, text_col=text_col), "tables")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, fit = [], []
+            for cell in batch.column("prefix_counts"):
+                every = prefix_counts(cell.as_py())
+                tokens.append(int(every[-1]) if len(every) else 0)
+                fits = np.flatnonzero(every <= limit)
+                fit.append(int(fits[-1]) + 1 if len(fits) else 0)
+            made = {"id": batch.column("id"), "n_bytes": batch.column("n_bytes"), "n_tokens": pa.array(tokens, pa.int64()), "over_limit": pa.array([n > limit for n in tokens], pa.bool_()), "fit_chars": pa.array(fit, pa.int64())}
+            yield pa.RecordBatch.from_pydict(made | ({"prefix_counts": batch.column("prefix_counts")} if tables else {}))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, n_tokens long, over_limit boolean" + ", prefix_ends binary, fit_chars long" * tables
-    return docs.select(id_col, text_col).mapInArrow(count, schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_counts binary" * tables
+    return stored.mapInArrow(answer, schema).withColumnRenamed("id", id_col)

@@ -1,7 +1,7 @@
 from tokenizers import Tokenizer
 
 from loamline.llm.bpe import BytePairs
-from loamline.llm.token_counts import token_counts
+from loamline.llm.token_counts import PrefixCounter, prefix_counts, token_counts
 
 from .fixtures import awkward_rows, frame
 from .test_tokens import PATH
@@ -16,11 +16,9 @@ def test_counts_come_from_the_recurrence_and_take_long_runs(spark):
 
 
 def test_whole_texts_are_not_encoded(monkeypatch):
-    from loamline.llm.token_counts import PrefixCounter
-
     own = PrefixCounter(BytePairs(PATH))
     monkeypatch.setattr(BytePairs, "ids", None)
     text = "The cat's  hat<|endoftext|> \u65e5\u672c 123"
     ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
-    ends = own.ends(text).tolist()
-    assert len(ends) == len(ids) and ends[-1] == len(text.encode())
+    every = prefix_counts(own.table(text)).tolist()
+    assert len(every) == len(text) and every[-1] == len(ids)

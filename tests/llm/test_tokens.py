@@ -4,10 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from loamline.llm import packing
-from loamline.llm.token_counts import counter, token_counts
+from loamline.llm.token_counts import count, counter, fitting, prefix_counts, token_counts
 
 from .fixtures import awkward_rows, frame
 
@@ -17,27 +18,44 @@ PARTS = [" ", "  ", "\n", "\t", "'", "'s", "'re", "a", "the", "é", "日本", "1
 
 def test_every_prefix_equals_the_library():
     rng, library, own = random.Random(1), Tokenizer.from_file(PATH), counter(PATH)
-    for _ in range(300):
+    for _ in range(600):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(12)))
         want = [len(library.encode(text[:p], add_special_tokens=False).ids) for p in range(1, len(text) + 1)]
-        ends, limit = own.ends(text), rng.randrange(7)
+        table, limit = own.table(text), rng.randrange(7)
         assert own.pairs.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
-        assert own.every_prefix(text).tolist() == want
-        assert [own.count(text, ends, p) for p in range(1, len(text) + 1)] == want
-        assert own.fitting(text, ends, limit) == max([p + 1 for p, n in enumerate(want) if n <= limit], default=0)
+        assert prefix_counts(table).tolist() == want
+        assert [count(table, p) for p in range(1, len(text) + 2)] == want + want[-1:] or not text
+        assert fitting(table, limit) == max([p + 1 for p, n in enumerate(want) if n <= limit], default=0)
 
 
 def test_counts_of_whole_texts(spark):
     rows, library = awkward_rows(), Tokenizer.from_file(PATH)
-    got = sorted(tuple(r) for r in token_counts(frame(spark, rows), PATH, 100).collect())
+    got = token_counts(frame(spark, rows), PATH, 100, tables=True).collect()
     want = []
     for i, text, *_ in rows:
         n = len(library.encode(text or "", add_special_tokens=False).ids)
         want.append((i, len((text or "").encode()), n, n > 100))
-    assert got == sorted(want)
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted(want)
+    texts = dict((r[0], r[1] or "") for r in rows)
+    for r in got:
+        counted = lambda k, text=texts[r.doc_id]: len(library.encode(text[:k], add_special_tokens=False).ids)
+        assert counted(r.fit_chars) <= 100 and (r.fit_chars == len(texts[r.doc_id]) or counted(r.fit_chars + 1) > 100)
+        assert len(prefix_counts(bytes(r.prefix_counts))) == len(texts[r.doc_id])
     assert token_counts(frame(spark, []), PATH, 100, tables=True).collect() == []
 
 
+LONG = {"spaces": "a" + " " * 5_000_000 + "b", "lines": "\n" * 5_000_000, "tabs": "x \t" * 3000 + "\t" * 6000 + "<|endoftext|>" + " " * 6000 + "'s", "letters": "ab" * 500_000, "mixed": " \u3000\xa0" * 5000 + "\x1c" + " " * 4096}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_very_long_runs_are_whole(name):
+    text, own = LONG[name], counter(PATH)
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert own.pairs.ids(text).tolist() == want
+    every = prefix_counts(own.table(text))
+    assert len(every) == len(text) and every[-1] == len(want)
+
+
 def check_packing(rows, pieces, window):
     library = Tokenizer.from_file(PATH)
     want = defaultdict(list)
@@ -75,6 +93,19 @@ def test_packing_places_every_id_once(spark):
     assert packing.pack(frame(spark, []), PATH).collect() == []
 
 
+def test_very_long_texts_are_packed_and_counted(spark):
+    rows = [(1, LONG["spaces"], "en", "s0"), (2, LONG["tabs"], "en", "s0"), (3, "word " * 1_000_000, "en", "s0")]
+    library = Tokenizer.from_file(PATH)
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t, *_ in rows}
+    pieces = packing.pack(frame(spark, rows), PATH).collect()
+    for i, ids in want.items():
+        own = sorted((p.start, p.length, p.ids_crc32) for p in pieces if p.doc_id == i)
+        ids = np.array([*ids, 0], "<u4")
+        assert [p[0] for p in own] == np.cumsum([0, *(p[1] for p in own)])[:-1].tolist() and sum(p[1] for p in own) == len(ids)
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == crc for a, n, crc in own)
+    assert {r.doc_id: r.n_tokens for r in token_counts(frame(spark, rows), PATH, 512).collect()} == {i: len(ids) for i, ids in want.items()}
+
+
 def test_least_squares_fills_windows_from_the_histogram():
     histogram = np.zeros(64, np.int64)
     histogram[[10, 54, 20, 22]] = 500, 500, 300, 600
