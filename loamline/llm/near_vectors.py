@@ -2,17 +2,20 @@
 
 Vectors are compared within their label.  Equal vectors are one class; the classes of a
 label are dealt into shards of bounded size, and a layered small-world graph is built for
-each.  Every class then queries every shard of its label: a beam search starts in the top
-layer, and a query whose whole beam is above the threshold goes on with a wider beam, as
-there may be more.  In each pair of shards an audit compares some queries with an exact
-scan; while it misses a link all beams are widened, and where a beam would meet as many
-vectors as the shard has, a query is answered by an exact scan of it.  Links are verified by cosine in double precision.
+each.  Every class then queries the graph of every shard of its label, whatever its size.
+A beam search starts in the top layer; a query whose whole beam is above the threshold goes
+on with a wider beam, as there may be more.  In each pair of shards an audit holds some
+queries against an exact scan: of their true links, and of their nearest neighbours where
+few have links, at least ``RECALL`` must be found, else all queries go on with a wider beam.
+Only queries that fill the widest beam, or whose audit still fails there, end in an exact
+scan.  Links are verified by cosine in double precision.
 A task returns link counts and one edge per vector to a local representative, so groups of
 near copies never become all their pairs; the edges are joined into components.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +26,14 @@ from pyspark.sql import functions as F
 from .common import Stash, checked_broadcast
 from .components import components
 
+log = logging.getLogger(__name__)
+
 #: Classes of a shard, about; links of a node above and in the bottom layer; beams.
 SHARD, LINKS, BOTTOM, BUILD_BEAM, BEAM = 8192, 16, 32, 48, 32
-#: Every so manyth query is audited; queries handled at once; layers shrink by this factor.
-AUDIT, BATCH, SHRINK = 20, 512, 16
+#: Every so manyth query is audited, so many at least; queries handled at once; layers shrink by this factor.
+AUDIT, AUDITED, BATCH, SHRINK = 20, 64, 512, 16
+#: The widest beam; the share of an audit's links and nearest neighbours that must be found.
+WIDEST, RECALL = 512, 0.98
 
 
 def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +177,23 @@ def unit(points: np.ndarray) -> np.ndarray:
     return points / np.sqrt((points * points).sum(1, keepdims=True))
 
 
-def links_between(graph: Graph, nodes: np.ndarray, exact: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class Audit:
+    """What a run of ``links_between`` did: queries answered by each beam and by scans, audited links there are and found."""
+
+    def __init__(self):
+        self.by_beam: dict[int, int] = {}
+        self.scanned = self.wanted = self.found = 0
+
+
+def links_between(graph: Graph, nodes: np.ndarray, exact: np.ndarray, threshold: float, same: bool, audit: Audit | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, node) pairs with similarity of at least the threshold, in blocks; see the module's text.
 
     ``nodes`` and ``exact`` are the graph's vectors and the queries in double precision.
     """
-    size, slack, queries = len(graph.points), np.float32(threshold - 1e-5), exact.astype(np.float32)
+    slack, queries, report = np.float32(threshold - 1e-5), exact.astype(np.float32), audit or Audit()
+
+    def others(q: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return node != q if same else np.ones(np.broadcast_shapes(q.shape, node.shape), bool)
 
     def scan(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(0, len(at), BATCH):
@@ -183,7 +201,7 @@ def links_between(graph: Graph, nodes: np.ndarray, exact: np.ndarray, threshold:
             yield at[k : k + BATCH][q], node
 
     def sure(q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = node != q if same else np.ones(len(q), bool)
+        keep = others(q, node)
         q, node = q[keep], node[keep]
         ok = np.empty(len(q), bool)
         for k in range(0, len(q), 1 << 16):
@@ -191,27 +209,39 @@ def links_between(graph: Graph, nodes: np.ndarray, exact: np.ndarray, threshold:
             ok[at] = np.einsum("kd,kd->k", exact[q[at]], nodes[node[at]]) >= threshold
         return q[ok], node[ok]
 
+    # The audit: how many true links each of its queries has, and how near its nearest neighbour is.
+    audited = np.unique(np.linspace(0, len(queries) - 1, min(len(queries), max(AUDITED, len(queries) // AUDIT))).astype(np.int64))
+    want, nearest = np.zeros(len(queries), np.int64), np.full(len(queries), -np.inf, np.float32)
+    for k in range(0, len(audited), BATCH):
+        at = audited[k : k + BATCH]
+        near = queries[at] @ graph.points.T
+        if same:
+            near[np.arange(len(at)), at] = -np.inf
+        nearest[at] = near.max(1)
+        q, node = np.nonzero(near >= slack)
+        want += np.bincount(sure(at[q], node)[0], minlength=len(queries))
     todo, beam = np.arange(len(queries)), BEAM
-    audit = np.arange(0, len(queries), AUDIT)
-    want = {(int(a), int(b)) for q, n in scan(audit) for a, b in zip(*sure(q, n), strict=True)}
-    # A beam meets about BOTTOM nodes per entry; one that would meet a whole shard is no shorter than a scan.
-    while len(todo) and beam * BOTTOM < size:
-        pairs, full = [], []
+    while len(todo) and beam <= WIDEST:
+        pairs, full = [], np.zeros(len(queries), bool)
+        best = np.full(len(queries), -np.inf, np.float32)
         for k in range(0, len(todo), BATCH):
             at = todo[k : k + BATCH]
             ids, near = graph.nearest(queries[at], beam)
-            full.append(at[(near[:, -1] >= slack)])
-            q, c = np.nonzero((near >= slack) & (ids >= 0))
+            full[at] = near[:, -1] >= slack
+            real = (ids >= 0) & others(at[:, None], ids)
+            best[at] = np.where(real, near, -np.inf).max(1)
+            q, c = np.nonzero(real & (near >= slack) & ~full[at][:, None])
             pairs.append(sure(at[q], ids[q, c]))
-        full = np.concatenate(full)
-        q, node = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        kept = ~np.isin(q, full)
-        got = set(zip(q[kept].tolist(), node[kept].tolist(), strict=True))
-        asked = set(todo.tolist()) - set(full.tolist())
-        if all(pair in got for pair in want if pair[0] in asked):
-            yield q[kept], node[kept]
-            todo = full
+        asked = audited[np.isin(audited, todo) & ~full[audited]]
+        got = sum(np.bincount(q, minlength=len(queries)) for q, _ in pairs)
+        met = int((best[asked] >= nearest[asked] - 1e-5).sum())
+        if got[asked].sum() >= RECALL * want[asked].sum() and met >= RECALL * len(asked):
+            yield from pairs
+            report.by_beam[beam] = len(todo) - int(full[todo].sum())
+            report.wanted, report.found = report.wanted + int(want[asked].sum()), report.found + int(got[asked].sum())
+            todo = todo[full[todo]]
         beam *= 4
+    report.scanned = len(todo)
     for q, node in scan(todo):
         yield sure(q, node)
 
@@ -219,12 +249,13 @@ def links_between(graph: Graph, nodes: np.ndarray, exact: np.ndarray, threshold:
 def gathered(graph: Graph, i: tuple[np.ndarray, ...], j: tuple[np.ndarray, ...], threshold: float, same: bool) -> pa.Table:
     """One row per vector with links: itself, its local representative, and how many it is linked to.
 
-    ``i`` and ``j``: ids, copies and vectors of the graph's nodes and of the queries.
+    ``i`` and ``j``: ids, copies and vectors of the graph's nodes and of the queries.  A last
+    row without a node tells of the search: audited links, those found, and queries scanned.
     """
     ids = i[0] if same else np.concatenate([i[0], j[0]])
     shift = 0 if same else len(i[0])
-    links, group = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    for q, node in links_between(graph, i[2], j[2], threshold, same):
+    links, group, audit = np.zeros(len(ids), np.int64), np.arange(len(ids)), Audit()
+    for q, node in links_between(graph, i[2], j[2], threshold, same, audit):
         links += np.bincount(q + shift, i[1][node], len(ids)).astype(np.int64)
         if not same:
             links += np.bincount(node, j[1][q], len(ids)).astype(np.int64)
@@ -246,7 +277,9 @@ def gathered(graph: Graph, i: tuple[np.ndarray, ...], j: tuple[np.ndarray, ...],
             to[list(parent)] = [find(x) for x in parent]
             group = to[group]
     at = np.flatnonzero(links)
-    return pa.table({"node": pa.array(ids[at], pa.int64()), "other": pa.array(ids[group[at]], pa.int64()), "links": pa.array(links[at], pa.int64())})
+    long = lambda values, last: pa.array([*values.tolist(), last], pa.int64())
+    none = np.full(len(at), None)
+    return pa.table({"node": long(ids[at], None), "other": long(ids[group[at]], None), "links": long(links[at], None), "audited": long(none, audit.wanted), "met": long(none, audit.found), "scanned": long(none, audit.scanned)})
 
 
 def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD) -> DataFrame:
@@ -303,7 +336,10 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, id_col: str = "
         layers = [np.frombuffer(x, "<i4").astype(np.int64).reshape(-1, w) for x, w in zip(row["layers_i"], row["widths_i"], strict=True)]
         return gathered(Graph(i[2].astype(np.float32), layers), i, j, threshold, row["i"] == row["j"])
 
-    found = stash.save(pairs.groupBy("label", "size", "i", "j").applyInArrow(compare, "node long, other long, links long"), "found")
+    every = stash.save(pairs.groupBy("label", "size", "i", "j").applyInArrow(compare, "node long, other long, links long, audited long, met long, scanned long"), "found")
+    told = every.where("node is null").agg(F.sum("audited").alias("audited"), F.sum("met").alias("met"), F.sum("scanned").alias("scanned")).first()
+    log.info("%s of %s audited links found by graph search; %s queries answered by exact scans", told["met"], told["audited"], told["scanned"])
+    found = every.where("node is not null").select("node", "other", "links")
     roots = stash.save(components(stash, found.select("node", "other")), "roots")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.join(links, F.col("rep") == F.col("node"), "left").drop("node").join(roots, F.col("rep") == F.col("node"), "left")

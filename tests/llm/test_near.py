@@ -167,11 +167,42 @@ def test_links_found_through_a_graph_equal_brute_force():
     points = near_vectors.unit(np.concatenate([centers + rng.normal(size=centers.shape) * s for s in (0, 0.05, 0.08, 0.1, 0.12, 0.15)] + [centers[:1] + rng.normal(size=(300, 24)) * 0.03]))
     order = rng.permutation(len(points))
     points = points[order]
-    assert near_vectors.BEAM * near_vectors.BOTTOM < len(points)
-    graph = near_vectors.Graph(points.astype(np.float32))
-    got = [(a, b) for q, n in near_vectors.links_between(graph, points, points, 0.98, True) for a, b in zip(q.tolist(), n.tolist(), strict=True)]
+    graph, audit = near_vectors.Graph(points.astype(np.float32)), near_vectors.Audit()
+    got = [(a, b) for q, n in near_vectors.links_between(graph, points, points, 0.98, True, audit) for a, b in zip(q.tolist(), n.tolist(), strict=True)]
+    assert sum(audit.by_beam.values()) >= len(points) - 301 and audit.scanned <= 301
     near = points @ points.T
     np.fill_diagonal(near, -1)
     want = set(zip(*(x.tolist() for x in np.nonzero(near >= 0.98)), strict=True))
     assert len(got) == len(set(got)) and not set(got) - want
     assert len(want & set(got)) >= 0.999 * len(want)
+
+
+@pytest.mark.parametrize("count", [3, 40, 200, 900])
+def test_small_shards_are_searched_by_their_graphs(count):
+    rng = np.random.default_rng(count)
+    points = near_vectors.unit(np.repeat(rng.normal(size=(-(-count // 3), 24)), 3, 0)[:count] + rng.normal(size=(count, 24)) * 0.05)
+    graph, audit = near_vectors.Graph(points.astype(np.float32)), near_vectors.Audit()
+    got = sorted((a, b) for q, n in near_vectors.links_between(graph, points, points, 0.98, True, audit) for a, b in zip(q.tolist(), n.tolist(), strict=True))
+    near = points @ points.T
+    np.fill_diagonal(near, -1)
+    assert got == sorted(zip(*(x.tolist() for x in np.nonzero(near >= 0.98)), strict=True))
+    assert sum(audit.by_beam.values()) == count and audit.scanned == 0
+
+
+def test_an_audit_widens_beams_that_miss_links(monkeypatch):
+    rng = np.random.default_rng(2)
+    points = near_vectors.unit(np.repeat(rng.normal(size=(400, 24)), 3, 0) + rng.normal(size=(1200, 24)) * 0.05)
+    graph, searched = near_vectors.Graph(points.astype(np.float32)), []
+    whole = near_vectors.Graph.nearest
+
+    def blind(self, queries, beam):
+        searched.append(beam)
+        ids, near = whole(self, queries, beam)
+        return (ids, near) if beam > 32 else (np.full_like(ids, -1), np.full_like(near, -np.inf))
+
+    monkeypatch.setattr(near_vectors.Graph, "nearest", blind)
+    audit = near_vectors.Audit()
+    got = sum(len(q) for q, _ in near_vectors.links_between(graph, points, points, 0.98, True, audit))
+    near = points @ points.T
+    np.fill_diagonal(near, -1)
+    assert got == (near >= 0.98).sum() and {32, 128} <= set(searched) and audit.by_beam == {128: 1200}
