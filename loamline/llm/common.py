@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when it was counted and has no more rows than this.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast only when it was counted and has no more rows, and no more bytes, than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, local mode) a temporary folder is made.
+    Only where the session names none and runs in one process (tests) a temporary folder is
+    made; on a cluster, whose machines share none, that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="loamline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -51,13 +55,25 @@ class Stash:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checked_broadcast(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` with a broadcast hint if it has at most ``limit`` rows, else unchanged.
+def row_bytes(side: DataFrame) -> Column:
+    """About the bytes of a row: 8 for each plain value, and what strings, binaries and arrays hold."""
+    size = F.lit(8 * len(side.columns))
+    for name, kind in side.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + F.coalesce(8 * F.greatest(F.size(F.col(f"`{name}`")), F.lit(0)), F.lit(0))
+    return size.cast("long")
 
-    Beyond the limit Spark plans a shuffled join, whose skewed partitions it can split.
+
+def checked_broadcast(side: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``side`` with a broadcast hint if it has at most ``limit`` rows of ``most`` bytes, else unchanged.
+
+    Beyond the limits Spark plans a shuffled join, whose skewed partitions it can split.
     Pass a materialised side: it is counted here.
     """
-    return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
+    seen = side.limit(limit + 1).select(row_bytes(side).alias("bytes")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
+    return F.broadcast(side) if seen["n"] <= limit and (seen["bytes"] or 0) <= most else side
 
 
 def word_count(text: Column) -> Column:
