@@ -4,12 +4,12 @@ A set of shingles is dealt by hash into segments, and the hashes in a segment ar
 A shingle that only one of two sets has changes one segment alone, so the number of
 segments that differ is at most the symmetric difference, and for sets with similarity t
 that is at most (1 - t) / (1 + t) of their sizes together.  Sets are compared within size
-bands; in a band that many segments are laid out, and ``SEGMENTS`` of them (from several
-layouts for small sets) are the keys of the join.  A pair at the threshold leaves more
-than a third of its segments untouched and filled, so that all keys miss it with a
-probability below 1e-9; pairs above it are safer still.  Sets of few shingles are their own
-sketch, one shingle a segment: by the pigeonhole principle two of them share one of their
-first (1 - t) n + 1 shingles.
+bands, each with a layout of its own; every filled segment of it is a key of the join.  A
+set with more filled segments than can differ shares a key with whatever it is linked to:
+that is the pigeonhole principle, and it is checked for every set.  The few sets that hash
+badly, and sets of few shingles, have single shingles as segments besides: two linked sets
+share one of their first (1 - t) n + 1 shingles in a common order.  So no link is missed
+(but for equal 64-bit hashes of different shingles).
 
 Two sets that share a key are compared by a parity bit sketch, whose Hamming distance is
 a lower bound of the symmetric difference too, and what passes is verified on the shingle
@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,11 @@ from .common import Stash, checked_broadcast
 from .components import components
 from .shingles import mixed, shingle_set
 
-#: Keys of a set in a band.
-SEGMENTS = 48
 #: Sets with up to so many shingles are found by single shingles; those with more by segments.
 FEW = 24
-#: Members of one key that a block of the second comparison holds.
+#: Expected filled segments of the largest sets of a band, over what can differ.
+MARGIN = 1.2
+#: Members of one key that a block of the second comparison holds; pairs of a set that one group verifies.
 BLOCK = 1024
 
 
@@ -45,27 +47,45 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def first_shingles(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the first shingles in the order of their hashes: linked sets share one of them."""
+    return mixed(hashes[: len(hashes) - least_overlap(len(hashes), percent) + 1] ^ np.uint64(0x51))
+
+
+@lru_cache(maxsize=256)
+def segments_of(band: int, percent: int) -> int:
+    """Segments that sets of 2 ** band to 2 ** (band + 1) - 1 shingles are dealt into."""
+    top = (2 << band) - 1
+    most = most_apart(top, top * 100 // percent, percent)
+    size = most + 1
+    while size < 8 * top and size * -np.expm1(-top / size) < MARGIN * most + 2:
+        size += max(1, size // 16)
+    return size
+
+
 def join_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The join keys of a sorted set of shingle hashes."""
-    n, keys = len(hashes), []
-    if n * percent <= FEW * 100:
-        keys.append(mixed(hashes[: n - least_overlap(n, percent) + 1] ^ np.uint64(0x51)))
+    """The join keys of a sorted set of shingle hashes.
+
+    A set is laid out in its band, and in the band below if that holds sets it can be linked
+    to.  What can differ there is bounded by the set's size and the band's.
+    """
+    n, keys, sure = len(hashes), [], True
     if n > FEW:
-        band = n.bit_length() - 1
-        for j in [band, band + 1] if n * 100 >= percent * (2 << band) else [band]:
-            # The largest symmetric difference of two sets below 2 ** (j + 1) shingles.
-            segments = max(2, -(-(2 << j) * 2 * (100 - percent) // (100 + percent)))
-            for layout in range(-(-SEGMENTS // segments)):
-                salt = mixed(np.array([j * 64 + layout + 1], np.uint64))
-                dealt = mixed(hashes ^ salt) % np.uint64(segments)
-                chosen = dealt < np.uint64(SEGMENTS)
-                order = np.argsort(dealt[chosen], kind="stable")
-                which = dealt[chosen][order]
-                if not len(which):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-                parity = np.bitwise_xor.reduceat(hashes[chosen][order], first)
-                keys.append(mixed(parity + which[first] * np.uint64(0xD6E8FEB86659FD93) + salt))
+        own = n.bit_length() - 1
+        for band in [own, own - 1] if n * percent < 100 << own and 1 << own > FEW + 1 else [own]:
+            segments = segments_of(band, percent)
+            salt = mixed(np.array([band + 1], np.uint64))
+            dealt = mixed(hashes ^ salt) % np.uint64(segments)
+            order = np.argsort(dealt, kind="stable")
+            which = dealt[order]
+            first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            parity = np.bitwise_xor.reduceat(hashes[order], first)
+            keys.append(mixed(parity + which[first] * np.uint64(0xD6E8FEB86659FD93) + salt))
+            # In its own band a set's partners are at most so large; in the band below they are smaller than it.
+            partner = n * 100 // percent if band == own else (2 << band) - 1
+            sure &= len(first) > most_apart(n, partner, percent)
+    if n * percent <= FEW * 100 or not sure:
+        keys.append(first_shingles(hashes, percent))
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
@@ -95,21 +115,48 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def marked(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: set size, a 128-bit digest of the set, its keys and its bit sketch."""
+    """Per row: a number of its own, set size, a 128-bit digest of the set, its keys and its bit sketch."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for cell in batch.column(1):
                 hashes = shingle_set(cell.as_py())
                 digest = np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), "<i8")
                 keys = np.unique(join_keys(hashes, percent)).view(np.int64) if len(hashes) else []
-                rows.append((len(hashes), int(digest[0]), int(digest[1]), keys, bit_sketch(hashes).tobytes() if len(hashes) else b""))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc", "n", "h1", "h2", "keys", "sketch"])
+                rows.append((turn, len(hashes), int(digest[0]), int(digest[1]), keys, bit_sketch(hashes).tobytes() if len(hashes) else b""))
+                turn += 1
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc", "row", "n", "h1", "h2", "keys", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(mark, "doc long, row long, n long, h1 long, h2 long, keys array<long>, sketch binary")
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(mark, "doc long, n long, h1 long, h2 long, keys array<long>, sketch binary")
+def runs_of(keyed: DataFrame) -> DataFrame:
+    """``key, doc, least`` of the rows (key, doc) whose key a lesser document, ``least``, has too.
+
+    One pass over the sorted keys; most are of one document and go here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key and least document of the batch before
+        for batch in batches:
+            key, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc"))
+            if not len(key):
+                continue
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            at = np.flatnonzero(first)
+            least = doc[at]
+            if last is not None and last[0] == key[0]:
+                least[0] = last[1]
+            least = np.repeat(least, np.diff(np.append(at, len(key))))
+            last = (key[-1], least[-1])
+            kept = doc != least
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept], pa.int64()) for x in (key, doc, least)], ["key", "doc", "least"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, least long")
 
 
 def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -130,23 +177,45 @@ def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
 
 
 def verified(stash: Stash, pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, name: str) -> DataFrame:
-    """The pairs whose shingle sets reach the threshold; the sets are made anew from the texts."""
+    """The pairs whose shingle sets reach the threshold; the sets are made anew from the texts.
+
+    Pairs are dealt out by their first document, at most about ``BLOCK`` to a group, in which
+    that document's set comes once, before those of its partners.
+    """
     ids = stash.save(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), f"{name}-ids")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(checked_broadcast(ids), "doc", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["doc", "hashes"])
+            found = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
+            marks = pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), marks, pa.array(found, pa.binary())], ["doc", "mark", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own = None, []
         for batch in batches:
-            keep = [linked(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), percent) for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, b = [], []
+            for first, part, second, hashes in zip(*(batch.column(c) for c in ("a", "part", "b", "hashes")), strict=True):
+                first, second, found = first.as_py(), second.as_py(), np.frombuffer(hashes.as_buffer(), "<u8")
+                if (first, part.as_py()) != group:
+                    group, own = (first, part.as_py()), []
+                if second is None:
+                    own.append(found.copy())
+                elif any(linked(x, found, percent) for x in own):
+                    a.append(first)
+                    b.append(second)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    own = stash.save(texts.mapInArrow(sets, "doc long, hashes binary"), f"{name}-sets")
-    side = lambda c: own.select(F.col("doc").alias(c), F.col("hashes").alias(f"x{c}"))
-    out = stash.save(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long"), f"{name}-links")
-    stash.drop(f"{name}-ids", f"{name}-sets")
+    own = texts.mapInArrow(sets, "doc long, mark binary, hashes binary").groupBy("doc", "mark").agg(F.first("hashes").alias("hashes"))
+    own = stash.save(own.select("doc", "hashes"), f"{name}-sets")
+    many = stash.save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), f"{name}-many")
+    dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    firsts = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    side = lambda c: own.select(F.col("doc").alias(c), "hashes")
+    both = firsts.join(side("a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "hashes").union(dealt.join(side("b"), "b").select("a", "part", "b", "hashes"))
+    out = both.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).mapInArrow(compare, "a long, b long")
+    out = stash.save(out.distinct(), f"{name}-links")
+    stash.drop(f"{name}-ids", f"{name}-sets", f"{name}-many")
     return out
 
 
@@ -198,23 +267,30 @@ def ngram_components(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_i
     """``id, n_shingles, component_id`` of every row: the least id that its links reach.
 
     Rows are linked when 100 * |A and B| >= percent * |A or B| for their sets of five-word
-    shingles.  Texts without words, null and empty ones have no shingles and no links.
-    Equal texts are linked; rows that repeat an id count as one document.  A row without an
-    id links nothing and has the component of its text, or null.  An empty table gives an
-    empty result; further columns are not read.
+    shingles; ``percent`` is 50 at least.  Texts without words, null and empty ones have no
+    shingles and no links.  Equal texts are linked; rows that repeat an id are one document,
+    whose links are those of all its texts.  A row without an id links nothing and has the
+    component of its text, or null.  Very long texts are taken whole.  An empty table gives
+    an empty result; further columns are not read.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
     stash = Stash(docs.sparkSession, "ngrams")
     marks = stash.save(marked(docs, percent, id_col, text_col), "marks")
-    classes = marks.where("n > 0 and doc is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc", "n", "sketch", "keys")).alias("x"))
-    reps = stash.save(classes.select("h1", "h2", "x.*"), "reps")
-    keyed = reps.select("doc", F.explode("keys").alias("key"))
-    shared = stash.save(keyed.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "shared")
-    runs = stash.save(keyed.join(checked_broadcast(shared), "key").where("doc <> least"), "runs")
-    sketches = reps.select("doc", "n", "sketch")
+    filled = marks.where("n > 0 and doc is not null")
+    reps = stash.save(filled.groupBy("h1", "h2").agg(F.min(F.struct("doc", "row")).alias("x")).select("h1", "h2", "x.doc", "x.row"), "reps")
+    chosen = marks.join(checked_broadcast(reps.select("row")), "row", "left_semi")
+    runs = stash.save(runs_of(chosen.select("doc", F.explode("keys").alias("key"))), "runs")
+    sketches = stash.save(chosen.select("doc", "n", "sketch"), "sketches")
+    # Rows that repeat an id tie the classes of their texts together.
+    several = filled.groupBy("doc").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi").select("doc")
+    several = stash.save(several, "several")
+    texts_of = filled.select("doc", "h1", "h2").join(checked_broadcast(several), "doc", "left_semi").distinct()
+    same = stash.save(texts_of.join(reps.select("h1", "h2", F.col("doc").alias("a")), ["h1", "h2"]).select("a", F.col("doc").alias("b")), "same")
 
     stars = stash.save(runs.select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
     first = verified(stash, stash.save(near_enough(stars, sketches, percent), "near1"), docs, percent, id_col, text_col, "first")
-    roots = stash.save(components(stash, first, "cc-a"), "roots")
+    roots = stash.save(components(stash, first.union(same), "cc-a"), "roots")
 
     # Keys whose other members are not yet one component: those are compared with each other.
     placed = stash.save(runs.join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "doc").alias("root")), "placed")
@@ -224,9 +300,9 @@ def ngram_components(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_i
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     pairs = blocked(members.join(sketches, "doc"), percent).distinct().join(stars, ["a", "b"], "left_anti")
     second = verified(stash, stash.save(pairs, "near2"), docs, percent, id_col, text_col, "second")
-    roots = stash.save(components(stash, first.union(second), "cc-b"), "linked")
+    roots = stash.save(components(stash, first.union(second).union(same), "cc-b"), "linked")
 
-    # Every node's least id is its root, as nodes are the least ids of their classes.
+    # Every node's least id is its root, as a class's node is its least id.
     label = reps.join(roots, F.col("doc") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "doc").alias("component_id"))
     out = marks.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "h1", "h2").join(label, ["h1", "h2"], "left")
     return out.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))

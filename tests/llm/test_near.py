@@ -78,6 +78,41 @@ def test_keys_and_sketches_never_miss_a_link():
                 assert apart <= len(np.setxor1d(a, b)) <= ngram_join.most_apart(len(a), len(b), 75)
 
 
+def test_linked_sets_share_a_key_at_every_size_and_edge():
+    """Pairs at the largest difference that a link allows, also across the borders of bands."""
+    rng = np.random.default_rng(7)
+    for a in [*range(5, 140), *range(140, 2100, 37)]:
+        for b in {a, a + 1, a * 4 // 3, (a + a * 4 // 3) // 2}:
+            least = -(-75 * (a + b) // 175)
+            if 100 * least < 75 * (a + b - least) or least > a:
+                continue
+            for _ in range(6):
+                every = rng.integers(0, 1 << 63, a + b - least, np.uint64) * np.uint64(2)
+                x, y = np.unique(every[:a]), np.unique(np.concatenate([every[:least], every[a:]]))
+                assert ngram_join.linked(x, y, 75)
+                assert np.intersect1d(ngram_join.join_keys(x, 75), ngram_join.join_keys(y, 75)).size, (a, b)
+
+
+def test_sets_that_hash_badly_are_found_by_single_shingles():
+    """All shingles of both sets in one segment of their layout: no segment needs to agree."""
+    rng, band = np.random.default_rng(3), 6
+    salt = ngram_join.mixed(np.array([band + 1], np.uint64))
+    many = rng.integers(0, 1 << 63, 400_000, np.uint64)
+    one = many[ngram_join.mixed(many ^ salt) % np.uint64(ngram_join.segments_of(band, 75)) == 0][:120]
+    x, y = np.unique(one[:100]), np.unique(one[3:103])
+    assert len(x) == 100 and ngram_join.linked(x, y, 75)
+    assert np.intersect1d(ngram_join.join_keys(x, 75), ngram_join.join_keys(y, 75)).size
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 40) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (9, b), (20, c), (20, edited(rng, d, 0.01)), (21, d), (22, c), (2, None), (2, ""), (30, "x y"), (30, None)]
+    rows += [(40, c + " more")] * 300
+    got = {(r.doc_id, r.component_id) for r in ngram_join.ngram_components(frame(spark, [(*r, "en", "s") for r in rows])).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (20, 20), (21, 20), (22, 20), (2, 2), (30, 30), (40, 20)}
+
+
 def test_components_equal_brute_force(spark):
     rng = random.Random(4)
     rows = awkward_rows(plain=80)
