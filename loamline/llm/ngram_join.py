@@ -27,7 +27,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +38,8 @@ from .shingles import mixed, shingle_set
 FEW = 24
 #: Expected filled segments of the largest sets of a band, over what can differ.
 MARGIN = 1.2
+#: Keys that a task sends on at once, and about how many a task sorts; the most such tasks.
+KEYS_AT_ONCE, TASK_KEYS, MOST_TASKS = 1 << 19, 1 << 20, 1 << 15
 #: Members of one key that a block of the second comparison holds; pairs of a set that one group verifies.
 BLOCK = 1024
 
@@ -114,27 +115,50 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def marked(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: a number of its own, set size, a 128-bit digest of the set, its keys and its bit sketch."""
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: set size, a 128-bit digest of the set, and its bit sketch."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for cell in batch.column(1):
                 hashes = shingle_set(cell.as_py())
                 digest = np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), "<i8")
-                keys = np.unique(join_keys(hashes, percent)).view(np.int64) if len(hashes) else []
-                rows.append((turn, len(hashes), int(digest[0]), int(digest[1]), keys, bit_sketch(hashes).tobytes() if len(hashes) else b""))
-                turn += 1
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc", "row", "n", "h1", "h2", "keys", "sketch"])
+                rows.append((len(hashes), int(digest[0]), int(digest[1]), bit_sketch(hashes).tobytes() if len(hashes) else b""))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = [*[pa.int64()] * 3, pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc", "n", "h1", "h2", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(mark, "doc long, row long, n long, h1 long, h2 long, keys array<long>, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(mark, "doc long, n long, h1 long, h2 long, sketch binary")
 
 
-def runs_of(keyed: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``key, doc`` of every join key of every text; repeated ones of a batch come once."""
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = join_keys(shingle_set(cell.as_py()), percent).view(np.int64)
+                held.append(np.stack([own, np.full(len(own), doc, np.int64)]))
+                size += len(own)
+                if size >= KEYS_AT_ONCE:
+                    yield sent(held)
+                    held, size = [], 0
+            if held:
+                yield sent(held)
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, doc = np.concatenate(held, 1)
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])[: len(key)]
+        return pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(doc[new])], ["key", "doc"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(lay_out, "key long, doc long")
+
+
+def runs_of(keyed: DataFrame, tasks: int) -> DataFrame:
     """``key, doc, least`` of the rows (key, doc) whose key a lesser document, ``least``, has too.
 
     One pass over the sorted keys; most are of one document and go here.
@@ -146,8 +170,7 @@ def runs_of(keyed: DataFrame) -> DataFrame:
             key, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc"))
             if not len(key):
                 continue
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            at = np.flatnonzero(first)
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             least = doc[at]
             if last is not None and last[0] == key[0]:
                 least[0] = last[1]
@@ -156,7 +179,7 @@ def runs_of(keyed: DataFrame) -> DataFrame:
             kept = doc != least
             yield pa.RecordBatch.from_arrays([pa.array(x[kept], pa.int64()) for x in (key, doc, least)], ["key", "doc", "least"])
 
-    return keyed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, least long")
+    return keyed.repartition(tasks, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, least long")
 
 
 def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -276,12 +299,15 @@ def ngram_components(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_i
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     stash = Stash(docs.sparkSession, "ngrams")
-    marks = stash.save(marked(docs, percent, id_col, text_col), "marks")
+    marks = stash.save(marked(docs, id_col, text_col), "marks")
     filled = marks.where("n > 0 and doc is not null")
-    reps = stash.save(filled.groupBy("h1", "h2").agg(F.min(F.struct("doc", "row")).alias("x")).select("h1", "h2", "x.doc", "x.row"), "reps")
-    chosen = marks.join(checked_broadcast(reps.select("row")), "row", "left_semi")
-    runs = stash.save(runs_of(chosen.select("doc", F.explode("keys").alias("key"))), "runs")
-    sketches = stash.save(chosen.select("doc", "n", "sketch"), "sketches")
+    reps = stash.save(filled.groupBy("h1", "h2").agg(F.min(F.struct("doc", "n", "sketch")).alias("x")).select("h1", "h2", "x.*"), "reps")
+    sketches = reps.select("doc", "n", "sketch")
+    # Keys are laid out from the texts of representatives: no table holds them beside the shuffle.
+    nodes = checked_broadcast(reps.select("doc"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(nodes, "doc", "left_semi")
+    tasks = min(MOST_TASKS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (reps.agg(F.sum("n")).first()[0] or 0) // TASK_KEYS))
+    runs = stash.save(runs_of(keyed(texts, percent, "doc", "text"), tasks), "runs")
     # Rows that repeat an id tie the classes of their texts together.
     several = filled.groupBy("doc").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi").select("doc")
     several = stash.save(several, "several")
