@@ -13,10 +13,11 @@ share one of their first (1 - t) n + 1 shingles in a common order.  So no link i
 
 Two sets that share a key are compared by a parity bit sketch, whose Hamming distance is
 a lower bound of the symmetric difference too, and what passes is verified on the shingle
-sets.  Equal sets are one class before all that.  Within the sets that share a key, first
-each is compared with the least; then only pairs that are still in different components
-are, in blocks.  So groups of near copies never become all their pairs, yet every pair
-that shares a key is either compared or known to be connected.
+sets.  Equal sets are one class before all that.  Of the sets that share a key, first each
+is compared with the least.  Two sets that share a key so are partners of the same least
+set: among the partners of a set, those that are still in different components are then
+compared, in blocks.  So groups of near copies never become all their pairs, yet every
+pair that shares a key is either compared or known to be connected.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ FEW = 24
 MARGIN = 1.2
 #: Keys that a task sends on at once, and about how many a task sorts; the most such tasks.
 KEYS_AT_ONCE, TASK_KEYS, MOST_TASKS = 1 << 19, 1 << 20, 1 << 15
-#: Members of one key that a block of the second comparison holds; pairs of a set that one group verifies.
+#: Partners of a set that a block of the second comparison holds; pairs of a set that one group verifies.
 BLOCK = 1024
 
 
@@ -158,8 +159,8 @@ def keyed(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFram
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_col).mapInArrow(lay_out, "key long, doc long")
 
 
-def runs_of(keyed: DataFrame, tasks: int) -> DataFrame:
-    """``key, doc, least`` of the rows (key, doc) whose key a lesser document, ``least``, has too.
+def stars_of(keyed: DataFrame, tasks: int) -> DataFrame:
+    """``a, b`` for every document ``b`` that has a key whose least document is ``a``, another one.
 
     One pass over the sorted keys; most are of one document and go here.
     """
@@ -177,9 +178,9 @@ def runs_of(keyed: DataFrame, tasks: int) -> DataFrame:
             least = np.repeat(least, np.diff(np.append(at, len(key))))
             last = (key[-1], least[-1])
             kept = doc != least
-            yield pa.RecordBatch.from_arrays([pa.array(x[kept], pa.int64()) for x in (key, doc, least)], ["key", "doc", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept], pa.int64()) for x in (least, doc)], ["a", "b"])
 
-    return keyed.repartition(tasks, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, least long")
+    return keyed.repartition(tasks, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -243,47 +244,47 @@ def verified(stash: Stash, pairs: DataFrame, docs: DataFrame, percent: int, id_c
 
 
 def blocked(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a key that the bit sketches do not rule out.
+    """Pairs of different components among the partners of a set that the bit sketches do not rule out.
 
-    ``members``: key, x, y (the blocks compared), own (this row's block), doc, root, n, sketch.
+    ``members``: a (the set), x, y (the blocks compared), own (this row's block), doc, root, n, sketch.
     """
 
     def flush(rows: list[tuple]) -> list[tuple[int, int]]:
-        x, y = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == x]
-        right = left if x == y else [r for r in rows if r[3] == y]
-        if not left or not right:
-            return []
-        words = min(len(r[7]) for r in rows) // 8
-        doc, root, n = (np.array([r[i] for r in right], np.int64) for i in (4, 5, 6))
-        bits = np.stack([cut_to(np.frombuffer(r[7], "<u8"), words) for r in right])
-        out = []
-        for r in left:
-            own = cut_to(np.frombuffer(r[7], "<u8"), words)
-            other = (root != r[5]) & (np.minimum(n, r[6]) * 100 >= np.maximum(n, r[6]) * percent) & ((doc > r[4]) | (x != y))
-            at = np.flatnonzero(other)
+        rows.sort(key=lambda r: (r[6], r[4]))
+        own, doc, root, n = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5, 6))
+        words = np.array([len(r[7]) // 8 for r in rows])
+        inside, most, out = rows[0][1] == rows[0][2], np.searchsorted(n, n * 100 // percent, "right"), []
+        level = 0
+        for i in range(len(rows) - 1):
+            if words[i] != level:
+                # Sizes ascend, and so do sketches: from here on all have this many words at least.
+                level, base = words[i], i
+                bits = np.stack([cut_to(np.frombuffer(r[7], "<u8"), level) for r in rows[i:]])
+            at = np.arange(i + 1, most[i])
+            at = at[(root[at] != root[i]) & (inside | (own[at] != own[i]))]
             if len(at):
-                apart = np.bitwise_count(bits[at] ^ own).sum(1)
-                out += [(min(r[4], int(d)), max(r[4], int(d))) for d in doc[at[apart <= most_apart(n[at], r[6], percent)]]]
+                apart = np.bitwise_count(bits[at - base] ^ bits[i - base]).sum(1)
+                out += [(min(int(doc[i]), d), max(int(doc[i]), d)) for d in doc[at[apart <= most_apart(n[at], n[i], percent)]].tolist()]
         return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(found: set[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         rows: list[tuple] = []
         for batch in batches:
-            found = []
+            found = set()
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and rows[0][:3] != row[:3]:
-                    found += flush(rows)
+                    found.update(flush(rows))
                     rows = []
                 rows.append(row)
-            a, b = zip(*set(found), strict=True) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        if rows and (found := set(flush(rows))):
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield sent(found)
+        if rows:
+            yield sent(set(flush(rows)))
 
-    columns = ["key", "x", "y", "own", "doc", "root", "n", "sketch"]
-    return members.select(columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(compare, "a long, b long")
+    columns = ["a", "x", "y", "own", "doc", "root", "n", "sketch"]
+    return members.select(columns).repartition("a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,23 +308,22 @@ def ngram_components(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_i
     nodes = checked_broadcast(reps.select("doc"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(nodes, "doc", "left_semi")
     tasks = min(MOST_TASKS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (reps.agg(F.sum("n")).first()[0] or 0) // TASK_KEYS))
-    runs = stash.save(runs_of(keyed(texts, percent, "doc", "text"), tasks), "runs")
+    stars = stash.save(stars_of(keyed(texts, percent, "doc", "text"), tasks), "stars")
     # Rows that repeat an id tie the classes of their texts together.
     several = filled.groupBy("doc").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi").select("doc")
     several = stash.save(several, "several")
     texts_of = filled.select("doc", "h1", "h2").join(checked_broadcast(several), "doc", "left_semi").distinct()
     same = stash.save(texts_of.join(reps.select("h1", "h2", F.col("doc").alias("a")), ["h1", "h2"]).select("a", F.col("doc").alias("b")), "same")
 
-    stars = stash.save(runs.select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
     first = verified(stash, stash.save(near_enough(stars, sketches, percent), "near1"), docs, percent, id_col, text_col, "first")
     roots = stash.save(components(stash, first.union(same), "cc-a"), "roots")
 
-    # Keys whose other members are not yet one component: those are compared with each other.
-    placed = stash.save(runs.join(roots, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "doc").alias("root")), "placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    mixed_keys = stash.save(mixed_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    members = placed.join(checked_broadcast(mixed_keys), "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    # Sets whose partners are not yet one component: those are compared with each other.
+    placed = stash.save(stars.join(roots, F.col("b") == F.col("node"), "left").select("a", F.col("b").alias("doc"), F.coalesce("root", "b").alias("root")), "placed")
+    mixed_stars = placed.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    mixed_stars = stash.save(mixed_stars.select("a", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+    members = placed.join(checked_broadcast(mixed_stars), "a").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("a", "doc", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     pairs = blocked(members.join(sketches, "doc"), percent).distinct().join(stars, ["a", "b"], "left_anti")
     second = verified(stash, stash.save(pairs, "near2"), docs, percent, id_col, text_col, "second")
     roots = stash.save(components(stash, first.union(second).union(same), "cc-b"), "linked")
