@@ -1,9 +1,10 @@
 """Media columns: telephony audio in WAV containers, decoded with numpy.
 
 Companded samples (mu-law, A-law) are expanded by 256-entry lookup tables built from
-their segment rule.  ADPCM is decoded for all blocks of a column at once: step k of every
-block is one numpy operation, as blocks do not depend on each other.  Decoded audio is
-resampled by a short polyphase filter and stored as 16-bit PCM.
+their segment rule.  ADPCM is decoded for all blocks of a batch of rows at once: step k of
+every block is one numpy operation, as blocks do not depend on each other.  Decoded audio is
+resampled by a short polyphase filter and comes out as 16-bit PCM files, to be stored with
+the result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import Stash
+
 #: WAV format tags.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 #: IMA ADPCM index steps of a code's low three bits.
@@ -80,23 +83,34 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resampled(pcm: np.ndarray, up: int = 2) -> np.ndarray:
-    """``pcm`` at ``up`` times its rate, by a windowed-sinc polyphase filter of 8 taps a phase.
+def resampled(pcm: np.ndarray, up: int = 2, down: int = 1) -> np.ndarray:
+    """``pcm`` at ``up / down`` times its rate, by a windowed-sinc polyphase filter.
 
-    Phase 0 keeps the samples; the ends are held.
+    Eight zero crossings wide at the lower of the two rates; without ``down`` phase 0 keeps
+    the samples.  The ends are held.
     """
     if not len(pcm):
         return pcm.astype(np.int16)
-    taps = np.arange(-3, 5)
-    wide = np.pad(pcm.astype(np.float32), (3, 4), "edge")
-    out = np.empty((len(pcm), up), np.int16)
-    out[:, 0] = pcm
-    for phase in range(1, up):
-        at = taps - phase / up
-        weight = np.sinc(at) * (0.5 + 0.5 * np.cos(np.pi * at / 5))
+    reach = 4 * max(1, -(-down // up))
+    taps = np.arange(1 - reach, reach + 1)
+    cut = min(1.0, up / down)
+    wide = np.pad(pcm.astype(np.float32), (reach - 1, reach), "edge")
+    size = -(-len(pcm) * up // down)
+    out = np.empty(size, np.int16)
+    for phase in range(up):
+        # Samples of this phase: every one lies phase / up behind an input sample.
+        at = np.arange(phase * pow(down, -1, up) % up if up > 1 else 0, size, up)
+        if not len(at):
+            continue
+        place = at * down // up
+        near = taps - phase / up
+        weight = np.sinc(near * cut) * (0.5 + 0.5 * np.cos(np.pi * near / (reach + 1)))
+        if phase == 0 and down == 1:
+            out[at] = pcm[place]
+            continue
         whole = np.convolve(wide, (weight / weight.sum())[::-1].astype(np.float32), "valid")
-        out[:, phase] = np.clip(np.rint(whole), -32768, 32767)
-    return out.ravel()
+        out[at] = np.clip(np.rint(whole[place]), -32768, 32767)
+    return out
 
 
 def wav(tag: int, rate: int, samples: bytes, block: int = 1, bits: int = 8) -> bytes:
@@ -123,25 +137,37 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
     raise ValueError("a WAV file without samples")
 
 
-def decoded(media: bytes) -> tuple[int, np.ndarray]:
-    """Rate and 16-bit PCM of a stored WAV file in any of the four formats."""
-    tag, rate, block, samples = read_wav(media)
-    raw = np.frombuffer(samples, np.uint8)
-    if tag == MULAW:
-        return rate, MULAW_PCM[raw]
-    if tag == ALAW:
-        return rate, ALAW_PCM[raw]
-    if tag == IMA_ADPCM:
-        return rate, decode_adpcm(raw[: len(raw) // block * block].reshape(-1, block)).ravel()
-    if tag == PCM:
-        return rate, raw.view("<i2")
-    raise ValueError(f"format {tag}")
-
-
-def stored_pcm(media: bytes, up: int = 2) -> bytes:
-    """The resampled PCM of a stored telephony file, as a WAV file."""
-    rate, pcm = decoded(media)
-    return wav(PCM, rate * up, resampled(pcm, up).astype("<i2").tobytes(), 2, 16)
+#: Blocks of ADPCM that are decoded at once, and their bytes.
+BLOCKS_AT_ONCE, BLOCK_BYTES = 1 << 14, 64
+#: Format tag, bytes a block and bits a sample of the codecs.
+FORMATS = {"mulaw": (MULAW, 1, 8), "alaw": (ALAW, 1, 8), "adpcm": (IMA_ADPCM, BLOCK_BYTES, 4)}
+
+
+def decoded_batch(files: list[bytes]) -> list[tuple[int, np.ndarray]]:
+    """Rate and 16-bit PCM of stored WAV files in any of the four formats, all blocks of a size together."""
+    out: list[tuple[int, np.ndarray] | None] = [None] * len(files)
+    read = [read_wav(media) for media in files]
+    by_format: dict[tuple[int, int], list[int]] = {}
+    for k, (tag, _, block, _) in enumerate(read):
+        by_format.setdefault((tag, block if tag == IMA_ADPCM else 1), []).append(k)
+    for (tag, block), rows in by_format.items():
+        raw = [np.frombuffer(read[k][3], np.uint8) for k in rows]
+        if tag == PCM:
+            for k, own in zip(rows, raw, strict=True):
+                out[k] = (read[k][1], own.view("<i2"))
+            continue
+        if tag == IMA_ADPCM:
+            raw = [own[: len(own) // block * block] for own in raw]
+            every, each = np.concatenate(raw).reshape(-1, block), 1 + 2 * (block - 4)
+            pcm = np.concatenate([np.empty(0, np.int16), *(decode_adpcm(every[a : a + BLOCKS_AT_ONCE]).ravel() for a in range(0, len(every), BLOCKS_AT_ONCE))])
+            sizes = [len(own) // block * each for own in raw]
+        elif tag in (MULAW, ALAW):
+            pcm, sizes = (MULAW_PCM if tag == MULAW else ALAW_PCM)[np.concatenate(raw)], [len(own) for own in raw]
+        else:
+            raise ValueError(f"format {tag}")
+        for k, own in zip(rows, np.split(pcm, np.cumsum(sizes)[:-1]), strict=True):
+            out[k] = (read[k][1], own)
+    return out
 
 
 def payload(text: str | None) -> bytes:
@@ -150,44 +176,82 @@ def payload(text: str | None) -> bytes:
     return raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
 
 
-def features(media: bytes, up: int = 2) -> str:
-    """Samples, peak, mean size, sign changes and CRC-32 of the resampled PCM of a stored file."""
-    rate, pcm = decoded(media)
-    out = resampled(pcm, up)
-    size = np.abs(out.astype(np.int32))
-    turns = int(np.count_nonzero((out[1:] < 0) != (out[:-1] < 0)))
-    return f"rate={rate * up};samples={len(out)};peak={int(size.max(initial=0))};mean={int(size.sum()) // max(1, len(out))};turns={turns};crc={zlib.crc32(out.astype('<i2').tobytes()):08x}"
+def codec_of(content: bytes) -> str:
+    """The codec of a payload: each takes a third of all contents, and equal ones the same."""
+    return list(FORMATS)[zlib.crc32(content) % len(FORMATS)]
 
 
-#: What the formats call a sample or block, for ``media_columns``.
-FORMATS = {"mulaw": (MULAW, 1, 8), "alaw": (ALAW, 1, 8), "adpcm": (IMA_ADPCM, 64, 4)}
+def features(rate: int, pcm: np.ndarray) -> str:
+    """Rate, samples, peak, mean size, sign changes and CRC-32 of PCM."""
+    size = np.abs(pcm.astype(np.int32))
+    turns = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
+    return f"rate={rate};samples={len(pcm)};peak={int(size.max(initial=0))};mean={int(size.sum()) // max(1, len(pcm))};turns={turns};crc={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
 
 
-def media_columns(docs: DataFrame, *, codec: str = "mulaw", rate: int = 8000, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Each row's text as telephony audio: stored losslessly, read back and measured.
+#: Rows whose audio one step of a task holds, and bytes of payload at which it holds fewer.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 4 << 20
 
-    ``id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature``; with ``keep`` also ``media`` (the stored file) and ``pcm`` (the resampled
-    16-bit file).  A null or empty text is 64 zero bytes.  Equal texts give equal values,
-    repeated rows repeated results; other columns are not read.  One narrow pass.
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded size; a row beyond the bound is a part of its own."""
+    sizes = [len(x.as_buffer() or b"") if x.is_valid else 0 for x in batch.column(column)]
+    begin, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > begin and (held + size > BYTES_AT_ONCE or k - begin >= ROWS_AT_ONCE):
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size
+    if len(sizes) > begin:
+        yield batch.slice(begin)
+
+
+def stored_audio(docs: DataFrame, *, codec: str | None = None, rate: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_bytes, codec, media`` of every row: its text as a telephony file.
+
+    Without ``codec`` the content decides between the three.  A null or empty text is 64 zero
+    bytes; a text of any length is one file.
     """
-    tag, block, bits = FORMATS[codec]
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for cell in batch.column(1):
-                text = cell.as_py()
-                media = wav(tag, rate, payload(text), block, bits)
-                back = read_wav(media)[3]
-                row = (len((text or "").encode("utf-8")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(media))
-                rows.append((*row, media, stored_pcm(media)) if keep else row)
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "pcm"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-            width = 9 if keep else 7
-            columns = list(zip(*rows, strict=True)) or [[]] * width
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds[:width], strict=True)]], ["id", *names[:width]])
+        for whole in batches:
+            for batch in slices(whole, 1):
+                texts = [x.as_py() for x in batch.column(1)]
+                contents = [payload(x) for x in texts]
+                codecs = [codec or codec_of(x) for x in contents]
+                media = [wav(FORMATS[name][0], rate, content, *FORMATS[name][1:]) for name, content in zip(codecs, contents, strict=True)]
+                sizes = [len((x or "").encode("utf-8")) for x in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(codecs, pa.string()), pa.array(media, pa.binary())], ["id", "n_bytes", "codec", "media"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(store, f"id {kind}, n_bytes long, codec string, media binary")
+
+
+def media_columns(docs: DataFrame, *, codec: str | None = None, rate: int = 8000, up: int = 2, down: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """Each row's text as telephony audio: stored losslessly, read back, decoded, resampled and measured.
+
+    ``id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    feature, codec, pcm``; ``pcm`` is a WAV file of the resampled 16-bit PCM, ``feature``
+    describes it.  With ``keep`` the stored file, ``media``, follows.  The telephony files are
+    written to the shared folder first; every value but ``n_bytes`` is taken from what is read
+    back, and the audio of many rows is decoded together.  Equal texts give equal values,
+    repeated rows repeated results, a null id stays null; other columns are not read.  Two
+    narrow passes.
+    """
+    table = Stash(docs.sparkSession, "media").save(stored_audio(docs, codec=codec, rate=rate, id_col=id_col, text_col=text_col), "audio")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, whole.schema.get_field_index("media")):
+                media = batch.column("media").to_pylist()
+                back = [read_wav(x)[3] for x in media]
+                audio = [(r * up // down, resampled(x, up, down)) for r, x in decoded_batch(media)]
+                made = {
+                    "id": batch.column("id"), "n_bytes": batch.column("n_bytes"), "payload_bytes": pa.array([len(x) for x in back], pa.int64()), "payload_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
+                    "tail_crc32": pa.array([zlib.crc32(x[-64:]) for x in back], pa.int64()), "media_bytes": pa.array([len(x) for x in media], pa.int64()), "media_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in media], pa.string()),
+                    "feature": pa.array([features(*x) for x in audio], pa.string()), "codec": batch.column("codec"), "pcm": pa.array([wav(PCM, r, x.astype("<i2").tobytes(), 2, 16) for r, x in audio], pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(made | ({"media": batch.column("media")} if keep else {}))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, pcm binary" * keep
-    return docs.select(id_col, text_col).mapInArrow(store, schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm binary" + ", media binary" * keep
+    return table.mapInArrow(measure, schema).withColumnRenamed("id", id_col)
