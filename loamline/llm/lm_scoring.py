@@ -7,11 +7,12 @@ expectation over samples of that size, so that smoothing weighs alike in both.
 document's own words are taken out of the counts that it is scored with.  Its score is the mean loss per token under the target model minus that
 under the background model; the lower, the closer it is to the target.
 
-``score_counted`` keeps a count for every distinct word and pair.  Documents are dealt into
-blocks; a block sends its distinct hashes, sorted and with its counts, to buckets that each
-hold a range of all hashes.  A bucket adds up what all blocks sent, its share of a table that
-grows with the corpus, and answers each block with the sums of the hashes that it sent.  The
-block scores its documents with them.  No table is held in one place.
+``score_counted`` keeps a count for every distinct word and pair.  Documents are boxed into
+blocks where they lie, each a compressed row of a stored table; a block sends its distinct
+hashes, sorted and with its counts, to buckets that each hold a range of all hashes.  A bucket
+adds up what all blocks sent, its share of a table that grows with the corpus, and answers
+each block with the sums of the hashes that it sent.  The block scores its documents with
+them.  No table is held in one place, and texts are moved once, compressed.
 
 ``score`` is the same over a fixed number of hashed classes: its memory is bounded, but
 where a corpus has more words or pairs than classes they share counts, and scores change.
@@ -37,9 +38,9 @@ FAN = 128
 
 #: Classes of words and of word pairs; slices that their counts are summed in.
 WORDS, PAIRS, SLICES = 1 << 19, 1 << 21, 64
-#: Bytes of text of a block and for a bucket, about; the least number of each, a task adds up
-#: about twice ``BUCKETS``.
-BLOCK_BYTES, BUCKET_BYTES, BLOCKS, BUCKETS = 8 << 20, 8 << 20, 64, 16
+#: Bytes of text of a block and for a bucket, about; the least number of buckets, a task adds
+#: up about twice as many.
+BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 8 << 20, 8 << 20, 16
 #: Prior count of a word class, and of a context.
 FLOOR, PRIOR = 0.5, 8.0
 
@@ -158,22 +159,60 @@ def block_hashes(group: pa.Table) -> tuple[list[int], list[tuple[np.ndarray, np.
     return [len(x[0]) for x in found], out
 
 
-def answers(flagged: DataFrame, stash: Stash, buckets: int) -> DataFrame:
+def boxed(flagged: DataFrame) -> DataFrame:
+    """``block, size, box``: the rows of ``id, text, wanted`` in blocks of about ``BLOCK_BYTES`` bytes of text.
+
+    A block is a run of one task's rows, as a compressed Arrow stream; a longer text is a
+    block of its own.  ``block`` is the task's number and the block's number in it.
+    """
+
+    def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def sent() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "box"])
+
+        for batch in batches:
+            sizes, begin = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("text")], 0
+            for k, own in enumerate(sizes):
+                if size and size + own > BLOCK_BYTES:
+                    held.append(batch.slice(begin, k - begin))
+                    yield sent()
+                    block, held, size, begin = block + 1, [], 0, k
+                size += own
+            if len(sizes) > begin:
+                held.append(batch.slice(begin))
+        if held:
+            yield sent()
+
+    return flagged.mapInArrow(box, "block long, size long, box binary")
+
+
+def unboxed(box: pa.Scalar) -> pa.Table:
+    with pa.ipc.open_stream(box.as_buffer()) as stream:
+        return stream.read_all()
+
+
+def answers(boxes: DataFrame, stash: Stash, buckets: int) -> DataFrame:
     """``block, kind, bucket, sums`` for every block, and with block -1 what all sum up to."""
     bounds = np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], np.uint64)
 
-    def ask(group: pa.Table) -> pa.Table:
-        wanted = group["wanted"].to_numpy()
-        rows: dict[str, list] = {"block": [], "kind": [], "bucket": [], "hashes": [], "counts": []}
-        for kind, (keys, at, ends) in enumerate(block_hashes(group)[1]):
-            counts = np.stack([np.bincount(at, minlength=len(keys)), np.bincount(at[np.repeat(wanted, np.diff(ends))], minlength=len(keys))])
-            cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                    for name, value in (("block", group["block"][0].as_py()), ("kind", kind), ("bucket", k), ("hashes", packed(steps)), ("counts", packed(counts[:, a:b].astype("<i8")))):
-                        rows[name].append(value)
-        return pa.table({n: pa.array(rows[n], t) for n, t in (("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()))})
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, box in zip(batch.column("block").to_pylist(), batch.column("box"), strict=True):
+                group = unboxed(box)
+                wanted = group["wanted"].to_numpy()
+                for kind, (keys, at, ends) in enumerate(block_hashes(group)[1]):
+                    counts = np.stack([np.bincount(at, minlength=len(keys)), np.bincount(at[np.repeat(wanted, np.diff(ends))], minlength=len(keys))])
+                    cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+                    filled = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                    hashes = [packed(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in filled]
+                    own = [packed(counts[:, a:b].astype("<i8")) for _, a, b in filled]
+                    n = len(filled)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([k for k, *_ in filled], pa.int32()), pa.array(hashes, pa.binary()), pa.array(own, pa.binary())], ["block", "kind", "bucket", "hashes", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
         kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
@@ -185,25 +224,26 @@ def answers(flagged: DataFrame, stash: Stash, buckets: int) -> DataFrame:
         ends = np.cumsum([0, *map(len, sent)]).tolist()
         back = [packed(sums[:, at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({
-            "block": pa.array([*group["block"].to_pylist(), -1], pa.int32()), "kind": pa.array([kind] * (len(back) + 1), pa.int32()), "bucket": pa.array([bucket] * (len(back) + 1), pa.int32()),
+            "block": pa.array([*group["block"].to_pylist(), -1], pa.int64()), "kind": pa.array([kind] * (len(back) + 1), pa.int32()), "bucket": pa.array([bucket] * (len(back) + 1), pa.int32()),
             "sums": pa.array([*back, packed(np.array([len(keys), *sums.sum(1)], "<i8"))], pa.binary()),
         })
 
-    asked = flagged.groupBy("block").applyInArrow(ask, "block int, kind int, bucket int, hashes binary, counts binary")
+    asked = boxes.mapInArrow(ask, "block long, kind int, bucket int, hashes binary, counts binary")
     asked = asked.repartition(-(-buckets // BUCKETS), "kind", "bucket")
-    return stash.save(asked.groupBy("kind", "bucket").applyInArrow(add, "block int, kind int, bucket int, sums binary"), "answers")
+    return stash.save(asked.groupBy("kind", "bucket").applyInArrow(add, "block long, kind int, bucket int, sums binary"), "answers")
 
 
 def score_counted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What ``score`` gives, with a count of its own for every distinct word and pair.
 
-    The vocabulary is as large as there are distinct words, ``WORDS`` at least.
+    The vocabulary is as large as there are distinct words, ``WORDS`` at least.  Null ids are
+    kept as they are; they are no target.  A text of any length is scored whole.
     """
     stash = Stash(docs.sparkSession, "lm")
-    flagged = flagged_rows(docs, target, stash, id_col, text_col)
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    flagged = flagged.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(BLOCKS, -(-size // BLOCK_BYTES)))).cast("int"))
-    replies = answers(flagged, stash, max(BUCKETS, -(-size // BUCKET_BYTES)))
+    # Row groups of a few blocks, so that a task holds no more of them at once.
+    boxes = stash.save(boxed(flagged_rows(docs, target, stash, id_col, text_col)), "boxes", **{"parquet.block.size": BLOCK_BYTES})
+    size = boxes.agg(F.sum("size")).first()[0] or 0
+    replies = answers(boxes, stash, max(BUCKETS, -(-size // BUCKET_BYTES)))
     # Files of past shuffles go when the driver collects its garbage; those to come are as large.
     docs.sparkSession.sparkContext._jvm.System.gc()
     types, tokens = 0, np.zeros(2, np.int64)
@@ -213,8 +253,9 @@ def score_counted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id",
     types = max(types, WORDS)
     scale = float(tokens[1] / tokens[0]) if tokens[0] else 0.0
 
-    def judge(group: pa.Table, told: pa.Table) -> pa.Table:
-        sizes, sides = block_hashes(group) if len(group) else ([], [])
+    def judge(box: pa.Table, told: pa.Table) -> pa.Table:
+        group = unboxed(box["box"][0])
+        sizes, sides = block_hashes(group)
         tables, told = [np.empty((2, 0))], told.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         kinds = told["kind"].to_numpy()
         for kind, (keys, _, _) in enumerate(sides):
@@ -230,7 +271,7 @@ def score_counted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id",
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    scored = flagged.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(judge, schema)
+    scored = boxes.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(judge, schema)
     return scored.withColumnRenamed("id", id_col)
 
 
