@@ -7,17 +7,12 @@ expectation over samples of that size, so that smoothing weighs alike in both.
 document's own words are taken out of the counts that it is scored with.  Its score is the mean loss per token under the target model minus that
 under the background model; the lower, the closer it is to the target.
 
-``score_counted`` keeps a count for every distinct word and pair.  Documents are boxed into
+There is a count for every distinct word and pair.  Documents are boxed into
 blocks where they lie, each a compressed row of a stored table; a block sends its distinct
 hashes, sorted and with its counts, to buckets that each hold a range of all hashes.  A bucket
 adds up what all blocks sent, its share of a table that grows with the corpus, and answers
 each block with the sums of the hashes that it sent.  The block scores its documents with
 them.  No table is held in one place, and texts are moved once, compressed.
-
-``score`` is the same over a fixed number of hashed classes: its memory is bounded, but
-where a corpus has more words or pairs than classes they share counts, and scores change.
-Its counts are summed in slices of the classes: a task sends its sums, not its words, and
-what reaches the driver has a fixed size.
 """
 
 from __future__ import annotations
@@ -33,11 +28,8 @@ from pyspark.sql import functions as F
 from .common import Stash, checked_broadcast
 from .shingles import mixed, word_hashes
 
-#: Tasks whose sums meet in one task of the next step.
-FAN = 128
-
-#: Classes of words and of word pairs; slices that their counts are summed in.
-WORDS, PAIRS, SLICES = 1 << 19, 1 << 21, 64
+#: The least size of the vocabulary that smoothing assumes.
+WORDS = 1 << 19
 #: Bytes of text of a block and for a bucket, about; the least number of buckets, a task adds
 #: up about twice as many.
 BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 8 << 20, 8 << 20, 16
@@ -51,54 +43,6 @@ def hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return words, mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
 
 
-def classes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Word class of every token, and pair class of every token but the first."""
-    words, pairs = hashes(text)
-    return (words % np.uint64(WORDS)).astype(np.int64), (pairs % np.uint64(PAIRS)).astype(np.int64)
-
-
-def counts(docs: DataFrame, stash: Stash) -> np.ndarray:
-    """Counts of all classes (words, then pairs) in all rows and in those with ``wanted``.
-
-    A slice's sums are added in steps, each over the tasks of a group, so that no task
-    reads what all others send.
-    """
-    size = (WORDS + PAIRS) // SLICES
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, WORDS + PAIRS), np.int32)
-        for batch in batches:
-            for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-                words, pairs = classes(text.as_py())
-                for row in (0, 1) if wanted else (0,):
-                    np.add.at(total[row], words, 1)
-                    np.add.at(total[row], WORDS + pairs, 1)
-        if total.any():
-            for k in range(SLICES):
-                part = np.ascontiguousarray(total[:, k * size : (k + 1) * size])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId() // FAN], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "part", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for k, part, raw in zip(batch.column("slice").to_pylist(), batch.column("part").to_pylist(), batch.column("sums"), strict=True):
-                width = 4 if raw.as_buffer().size == 8 * size else 8
-                own = np.frombuffer(raw.as_buffer(), f"<i{width}")
-                total[k, part] = total[k, part] + own if (k, part) in total else own.astype(np.int64)
-        for (k, part), sums in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part // FAN], pa.int32()), pa.array([sums.astype("<i8").tobytes()], pa.binary())], ["slice", "part", "sums"])
-
-    schema = "slice int, part int, sums binary"
-    parts = docs.mapInArrow(count, schema)
-    for _ in range(2):
-        parts = parts.repartition("slice", "part").mapInArrow(add, schema)
-    parts = parts.repartition(SLICES, "slice").withColumn("part", F.lit(0)).mapInArrow(add, schema)
-    total = np.zeros((2, WORDS + PAIRS), np.int64)
-    for row in stash.save(parts, "counts").toLocalIterator():
-        total[:, row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row["sums"], "<i8").reshape(2, size)
-    return total
-
-
 def without_own(table: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Counts of a document's classes in both models, less the document's own share."""
     _, place, n = np.unique(at, return_inverse=True, return_counts=True)
@@ -116,9 +60,7 @@ def losses(words: np.ndarray, pairs: np.ndarray, table: np.ndarray, totals: np.n
     own = without_own(table, words, weight)
     alone = (own + FLOOR) / (totals - weight * len(words) + FLOOR * types)[:, None]
     p = alone.copy()
-    # Where classes collide a pair may seem more frequent than its words; it cannot be.
-    seen = np.minimum(without_own(table, pairs, weight), np.minimum(own[:, :-1], own[:, 1:]))
-    p[:, 1:] = (seen + PRIOR * alone[:, 1:]) / (own[:, :-1] + PRIOR)
+    p[:, 1:] = (without_own(table, pairs, weight) + PRIOR * alone[:, 1:]) / (own[:, :-1] + PRIOR)
     return -np.log(p).mean(1)
 
 
@@ -233,10 +175,12 @@ def answers(boxes: DataFrame, stash: Stash, buckets: int) -> DataFrame:
     return stash.save(asked.groupBy("kind", "bucket").applyInArrow(add, "block long, kind int, bucket int, sums binary"), "answers")
 
 
-def score_counted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What ``score`` gives, with a count of its own for every distinct word and pair.
+def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_tokens, target_loss, background_loss, score`` of every row.
 
-    The vocabulary is as large as there are distinct words, ``WORDS`` at least.  Null ids are
+    ``target`` holds the ids of the target documents, each once.  Texts without words, null
+    and empty ones have 0 tokens and null losses.  An empty target leaves its model
+    uniform.  Repeated rows count repeatedly and are scored alike.  The vocabulary is as large as there are distinct words, ``WORDS`` at least.  Null ids are
     kept as they are; they are no target.  A text of any length is scored whole.
     """
     stash = Stash(docs.sparkSession, "lm")
@@ -273,32 +217,3 @@ def score_counted(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id",
     schema = f"id {kind}, n_tokens long, target_loss double, background_loss double, score double"
     scored = boxes.groupBy("block").cogroup(replies.where("block >= 0").groupBy("block")).applyInArrow(judge, schema)
     return scored.withColumnRenamed("id", id_col)
-
-
-def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, target_loss, background_loss, score`` of every row.
-
-    ``target`` holds the ids of the target documents, each once.  Texts without words, null
-    and empty ones have 0 tokens and null losses.  An empty target leaves its model
-    uniform.  Repeated rows count repeatedly and are scored alike.
-    """
-    spark = docs.sparkSession
-    stash = Stash(spark, "lm")
-    flagged = flagged_rows(docs, target, stash, id_col, text_col)
-    total = counts(flagged.select("text", "wanted"), stash)
-    tokens = total[:, :WORDS].sum(1)
-    scale = float(tokens[1] / tokens[0]) if tokens[0] else 0.0
-    model = spark.sparkContext.broadcast((total * np.array([[scale], [1.0]], np.float32)).astype(np.float32))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, totals = model.value, np.full(2, float(tokens[1]))
-        for batch in batches:
-            found, n = [], []
-            for cell, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-                words, pairs = classes(cell.as_py())
-                found.append(losses(words, WORDS + pairs, table, totals, np.array([scale, float(wanted)]), WORDS))
-                n.append(len(words))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), **columns(found, n)})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return flagged.mapInArrow(judge, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)

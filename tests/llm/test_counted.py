@@ -35,15 +35,13 @@ def plain_losses(rows, chosen, types):
 
 
 def test_every_word_and_pair_has_its_own_count(spark, monkeypatch):
-    # Far fewer classes than words: whatever is folded into WORDS or PAIRS classes goes wrong.
     monkeypatch.setattr(lm_scoring, "WORDS", 16)
-    monkeypatch.setattr(lm_scoring, "PAIRS", 64)
     rows, chosen = awkward_rows(), {1, 3, 5, 7, 9}
     target = spark.createDataFrame([(i,) for i in (1, 3, 5, 7, 9, 9, None)], "doc_id long")
     types = len({w.lower() for _, t, *_ in rows for w in (t or "").split()})
     assert types > lm_scoring.WORDS
     want = plain_losses(rows, chosen, types)
-    got = lm_scoring.score_counted(frame(spark, rows), target).collect()
+    got = lm_scoring.score(frame(spark, rows), target).collect()
     assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
     for r in got:
         n, a, b = want[r.doc_id]
@@ -52,6 +50,6 @@ def test_every_word_and_pair_has_its_own_count(spark, monkeypatch):
             assert r.target_loss is r.background_loss is r.score is None
         else:
             assert (r.target_loss, r.background_loss, r.score) == pytest.approx((a, b, a - b), rel=1e-6, abs=1e-9)
-    assert lm_scoring.score_counted(frame(spark, []), target).collect() == []
-    none = lm_scoring.score_counted(frame(spark, rows[:9]), target.limit(0)).collect()
+    assert lm_scoring.score(frame(spark, []), target).collect() == []
+    none = lm_scoring.score(frame(spark, rows[:9]), target.limit(0)).collect()
     assert all(r.score is None or abs(r.score) < 1e-6 for r in none)

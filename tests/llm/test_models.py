@@ -1,11 +1,9 @@
-import math
 import zlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from loamline.llm import language, lm_scoring
+from loamline.llm import language
 from loamline.llm.shingles import word_hashes
 
 from .fixtures import SF, awkward_rows, frame
@@ -42,48 +40,6 @@ def test_document_frequencies_cover_all_rows(spark):
     assert n == len(texts) and (df == want).all()
 
 
-def test_losses_equal_the_definition(spark):
-    rows = awkward_rows()
-    target = spark.createDataFrame([(i,) for i in (1, 3, 5, 7, 9, 9, None)], "doc_id long")
-    got = lm_scoring.score(frame(spark, rows), target).collect()
-    assert len(got) == len(rows)
-    n, chosen = np.zeros((2, lm_scoring.WORDS + lm_scoring.PAIRS)), {1, 3, 5, 7, 9}
-    for i, text, *_ in rows:
-        w, p = lm_scoring.classes(text)
-        for k in (0, 1) if i in chosen else (0,):
-            np.add.at(n[k], w, 1)
-            np.add.at(n[k], lm_scoring.WORDS + p, 1)
-    tokens = n[:, : lm_scoring.WORDS].sum(1)
-    scale = tokens[1] / tokens[0]
-    texts = {r[0]: r[1] for r in rows}
-    for r in got[:40]:
-        w, p = lm_scoring.classes(texts[r.doc_id])
-        assert r.n_tokens == len(w) == len((texts[r.doc_id] or "").split())
-        if not len(w):
-            assert r.score is None
-            continue
-        losses = []
-        for k, weight in ((1, float(r.doc_id in chosen)), (0, scale)):
-            factor = 1 if k else scale
-
-            def count(c, own, k=k, factor=factor, weight=weight):
-                return max(n[k][c] * factor - weight * own.count(c), 0)
-
-            own, pairs, total = w.tolist(), (lm_scoring.WORDS + p).tolist(), 0.0
-            for t, c in enumerate(own):
-                alone = (count(c, own) + lm_scoring.FLOOR) / (tokens[1] - weight * len(own) + lm_scoring.FLOOR * lm_scoring.WORDS)
-                if t:
-                    before = count(own[t - 1], own)
-                    both = min(count(pairs[t - 1], pairs), before, count(c, own))
-                    alone = (both + lm_scoring.PRIOR * alone) / (before + lm_scoring.PRIOR)
-                total -= math.log(alone)
-            losses.append(total / len(own))
-        assert r.target_loss == pytest.approx(losses[0], rel=1e-4) and r.background_loss == pytest.approx(losses[1], rel=1e-4)
-        assert r.score == pytest.approx(r.target_loss - r.background_loss)
-    assert lm_scoring.score(frame(spark, []), target).collect() == []
-    assert all(r.score in (None, 0.0) or abs(r.score) < 1e-6 for r in lm_scoring.score(frame(spark, rows[:9]), target.limit(0)).collect())
-
-
 def test_words_are_told_apart():
     a, b = word_hashes("The cat\tsat  on"), word_hashes("the CAT sat on ")
     assert (a == b).all() and len(set(a.tolist())) == 4

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from loamline.llm import near_vectors, ngram_join
+from loamline.llm import near_vectors, ngram_join, shingles
 from loamline.llm.common import Stash
 from loamline.llm.components import components
 from loamline.llm.shingles import shingle_set
@@ -63,6 +63,16 @@ def test_shingle_sets_have_the_right_sizes():
         assert len(shingle_set({r[0]: r[1] for r in awkward_rows()}[i])) == n
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(9)
+    texts = [words(rng, 300), "x" * 500 + " y " + "Z" * 333, " " * 400, " a" * 200, "é" * 300 + "\t" + words(rng, 40), "q" * 1000]
+    whole = [shingles.word_hashes(t) for t in texts]
+    assert [len(w) for w in whole] == [len(t.split()) for t in texts]
+    monkeypatch.setattr(shingles, "PIECE", 40)
+    for t, w in zip(texts, whole, strict=True):
+        assert (shingles.word_hashes(t) == w).all() and len(shingles.word_hashes(t)) == len(w)
+
+
 def test_keys_and_sketches_never_miss_a_link():
     rng = random.Random(2)
     for size in [6, 8, 12, 20, 24, 25, 29, 33, 40, 60, 64, 90, 128, 200, 300, 700, 2000]:
