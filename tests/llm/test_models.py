@@ -1,6 +1,9 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loamline.llm import language
@@ -36,10 +39,83 @@ def test_document_frequencies_cover_all_rows(spark):
     df, n = language.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
     want = np.zeros(language.FEATURES, int)
     for t in texts:
-        want[np.unique(language.ngrams(t))] += 1
+        want[language.term_frequencies(t)[0]] += 1
     assert n == len(texts) and (df == want).all()
 
 
+def plain_ngrams(text):
+    """Every n-gram occurrence by the definition: lower case, other characters than letters one blank."""
+    folded, out = "", []
+    for c in f" {text.lower()} ":
+        c = c if c.isalpha() or ord(c) > 0xFFFF else " "
+        folded += "" if c == " " and folded.endswith(" ") else c
+    for n in range(1, language.ORDERS + 1):
+        for k in range(len(folded) - n + 1):
+            value = 0
+            for place, c in enumerate(folded[k : k + n]):
+                value = (value * 0x9E3779B97F4A7C15 + ord(c) + place + 1) % 2**64
+            out.append(((value ^ value >> 29) * 0xBF58476D1CE4E5B9) % 2**64 >> 49)
+    return out
+
+
+def test_ngrams_equal_the_definition_whatever_the_parts(monkeypatch):
+    for size in (1 << 15, 7):
+        monkeypatch.setattr(language, "AT_ONCE", size)
+        for text in [r[1] or "" for r in awkward_rows(plain=10) if len(r[1] or "") < 2000]:
+            want = plain_ngrams(text)
+            assert sorted(x for part in language.ngram_parts(text) for x in part.tolist()) == sorted(want)
+            found, share = language.term_frequencies(text)
+            assert {int(f): round(s * len(want)) for f, s in zip(found, share, strict=True)} == Counter(want)
+
+
+def plain_ftrl(examples, langs, classes):
+    """Follow-the-regularised-leader, coordinate by coordinate, over dicts."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, c):
+        v = z[f, c]
+        return 0.0 if abs(v) <= language.L1 else -(v - math.copysign(language.L1, v)) / ((language.BETA + math.sqrt(n[f, c])) / language.ALPHA + language.L2)
+
+    order = np.random.Generator(np.random.PCG64(7))
+    for _ in range(language.ROUNDS):
+        for k in order.permutation(np.arange(len(examples))):
+            x = {**examples[k], "offset": 1.0}
+            w = {(f, c): weight(f, c) for f in x for c in range(classes)}
+            s = [sum(x[f] * w[f, c] for f in x) for c in range(classes)]
+            e = [math.exp(v - max(s)) for v in s]
+            for c in range(classes):
+                error = e[c] / sum(e) - (c == langs[k])
+                for f, v in x.items():
+                    g = v * error
+                    z[f, c] += g - (math.sqrt(n[f, c] + g * g) - math.sqrt(n[f, c])) / language.ALPHA * w[f, c]
+                    n[f, c] += g * g
+    return weight
+
+
+def test_fit_and_prediction_equal_plain_ftrl():
+    texts = ["the cat sat on the mat", "der hund und die katze", "the dog and the hat", "das ist ein haus", "le chat est sur la table", "la maison et le chien"] * 3
+    langs = np.array([0, 1, 0, 1, 2, 2] * 3)
+    df = Counter(f for t in texts for f in set(plain_ngrams(t)))
+    idf = np.log((1 + len(texts)) / (1 + np.array([df[f] for f in range(language.FEATURES)]))) + 1
+    w, b, t = language.fit([language.term_frequencies(x) for x in texts], langs, 3, idf)
+    examples = []
+    for text in texts:
+        grams = Counter(plain_ngrams(text))
+        examples.append({f: c / sum(grams.values()) * idf[f] * language.SCALE for f, c in grams.items()})
+    weight = plain_ftrl(examples, langs, 3)
+    for c in range(3):
+        assert b[c] == pytest.approx(weight("offset", c), abs=1e-9)
+        for f in {f for x in examples for f in x}:
+            assert w[f, c] == pytest.approx(weight(f, c) * idf[f] * language.SCALE, rel=1e-6, abs=1e-9)
+    assert (w != 0).sum() < w.size / 50  # the penalty leaves most weights at zero
+    for text in ("the house", "und das", "sur la"):
+        grams = plain_ngrams(text)
+        s = [(sum(w[f, c] for f in grams) / len(grams) + b[c]) / t for c in range(3)]
+        said, sure = language.predicted(text, (["en", "de", "fr"], w, b, t))
+        best = int(np.argmax(s))
+        assert said == ["en", "de", "fr"][best] and sure == pytest.approx(1 / sum(math.exp(v - s[best]) for v in s))
+
+
 def test_words_are_told_apart():
     a, b = word_hashes("The cat\tsat  on"), word_hashes("the CAT sat on ")
     assert (a == b).all() and len(set(a.tolist())) == 4
