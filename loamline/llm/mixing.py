@@ -8,9 +8,10 @@ a source, stay the same; only the last fraction of a source is rounded by itself
 
 Documents are dealt into small groups by a hash; a group leaves one open fraction, and a
 tree of further groups joins these, so no task holds more than a few dozen documents of
-a source at once, however large the source.  Large documents come first in a group: what
-stays open at the end, the only words by which a source can miss its target, is small.
-DataFrame functions only.
+a source at once, however large the source.  Rows that agree in id, source and size are
+counted first and numbered after, so that they are dealt into groups like all others.
+Large documents come first in a group: what stays open at the end, the only words by which
+a source can miss its target, is small.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import Stash, checked_broadcast, word_count
 
 #: Documents, or open fractions, that one group rounds.
 FAN = 64
+#: Sources at which the sources are cut into ranges; equal rows that are numbered at once.
+CUTS, RUN = 200, 4096
 
 
 def uniform(*cols: Column, seed: int) -> Column:
@@ -31,28 +34,48 @@ def uniform(*cols: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
+def ranked(stash: Stash, sources: DataFrame) -> DataFrame:
+    """``sources`` with ``place``, their number from 0 by code point, null last; no task sees all of them.
+
+    The sources are cut into ranges at those with the least hashes, and a range's rows are
+    numbered after the ranges before it.
+    """
+    cuts = sources.where("source is not null").select("source").orderBy(F.xxhash64("source"), "source").limit(CUTS)
+    cuts = stash.save(cuts.agg(F.sort_array(F.collect_list("source")).alias("cuts")), "cuts")
+    # Null compares with no cut; it is put behind all of them.
+    part = F.when(F.col("source").isNull(), CUTS + 1).otherwise(F.size(F.filter(F.col("cuts"), lambda cut: cut <= F.col("source"))))
+    spread = stash.save(sources.withColumn("cuts", cuts.scalar()).withColumn("part", part).drop("cuts"), "ranges")
+    before = spread.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = before.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("source")) - 1
+    return spread.withColumn("own", own).join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("own")).drop("part", "own", "before")
+
+
+def targets(stash: Stash, sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
     """``source, source_size, n, target``: shares by weight, capped, the excess shared again.
 
-    Sharing an excess until nothing is above its cap gives ``min(cap, level * weight)``;
-    with sources in the order of cap / weight the level is the largest of the quotients
-    (words not yet given to the sources before) / (weights from here on).  One row a source.
+    Sharing an excess until nothing is above its cap gives ``min(cap, level * weight)``.  The
+    level rises with every source that is found to be capped; each step sums over all
+    sources, and the last one caps no further source.  ``sizes`` holds ``source, size, n``.
     """
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    rows = rows.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double"))
-    rows = rows.withColumn("most", F.col("source_size") * cap)
-    every = Window.partitionBy()
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    given = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ahead = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("level", (F.sum("source_size").over(every) * share - given) / ahead)
-    rows = rows.withColumn("target", F.least("most", F.max("level").over(every) * F.col("weight")))
-    return rows.select("source", "source_size", "n", "target")
+    rows = stash.save(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n")), "totals")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
+    rows = ranked(stash, rows).withColumn("weight", weight).withColumn("most", F.col("source_size") * cap)
+    rows = stash.save(rows, "weighed")
+    words = (rows.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("most") <= F.col("weight") * level
+        seen = rows.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("most")).otherwise(0.0)).alias("given"), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).alias("ahead")).first()
+        if seen["n"] == capped or not seen["ahead"]:
+            level = level if seen["ahead"] else float("inf")
+            break
+        capped, level = seen["n"], max(0.0, words - seen["given"]) / seen["ahead"]
+    return rows.select("source", "source_size", "n", F.least(F.col("most"), F.col("weight") * F.lit(level)).alias("target"))
 
 
 def folded(items: Column) -> Column:
-    """Pivotal rounding along an array of (id, size, base, p, u): the decided ones and the last open one."""
+    """Pivotal rounding along an array of (size, id, twin, base, p, u): the decided ones and the last open one."""
 
     def step(acc: Column, item: Column) -> Column:
         a, b = acc["open"], item
@@ -68,7 +91,7 @@ def folded(items: Column) -> Column:
 
         def kept(x: Column, y: Column, y_rose: Column) -> Column:
             p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (words - F.when(y_rose, y["size"]).otherwise(0)) / x["size"]))
-            return F.struct(x["size"].alias("size"), x["id"].alias("id"), x["base"].alias("base"), p.alias("p"), x["u"].alias("u"))
+            return F.struct(x["size"].alias("size"), x["id"].alias("id"), x["twin"].alias("twin"), x["base"].alias("base"), p.alias("p"), x["u"].alias("u"))
 
         return F.struct(F.when(first_ends, kept(b, a, rises)).otherwise(kept(a, b, ~rises)).alias("open"), F.array_append(acc["done"], done).alias("done"))
 
@@ -80,25 +103,34 @@ def mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights: tuple
     """``id, size, source, source_size, target, copies, taken`` of every row.
 
     ``copies`` is at most ``ceil(cap)``; ``taken = copies * size``.  The same rows and seed
-    give the same result.  Null texts and texts without words have size 0 and are not
-    taken; null is a source of its own, the last.  A source's taken words differ from its
-    target by less than one document.  Rows that repeat an id are rounded each on its own;
-    an empty table gives an empty result.
+    give the same result, whatever their order and partitions.  Null texts and texts without
+    words have size 0 and are not taken; null is a source of its own, the last.  A source's
+    taken words differ from its target by less than one document.  Rows that repeat an id, or
+    have none, are rounded each on its own; very long texts are counted whole; an empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     stash = Stash(spark, "mixing")
-    sizes = stash.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    sources = stash.save(targets(sizes, share, cap, weights), "sources")
-    side = checked_broadcast(sources.withColumnRenamed("source", "s"))
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sizes = stash.save(read.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sources = stash.save(targets(stash, sizes, share, cap, weights), "sources")
+    side = checked_broadcast(sources.select(F.col("source").alias("s"), "source_size", F.col("n").alias("rows"), "target"))
+    # Equal rows are numbered, a run of them at a time, each run dealt out anew.
+    runs = sizes.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    if sizes.agg(F.max("n")).first()[0] not in (None, 1):
+        runs = runs.repartition("id", "source", "size", "run")
+    last = F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1
+    each = runs.select("id", "source", "size", F.explode(F.sequence(F.col("run") * RUN, last)).alias("twin"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sizes.join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
+    rows = each.join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
     rows = rows.withColumn("base", F.floor(F.col("rate") + 1e-12).cast("int")).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
     open_ = (F.col("size") > 0) & (F.col("p") > 1e-12)
     settled = rows.where(~open_).select("id", "source", "size", F.when(F.col("size") > 0, F.col("base")).otherwise(0).alias("copies"))
 
-    groups = F.greatest(F.lit(1), F.ceil(F.col("n") / FAN))
-    level = rows.where(open_).select("source", F.pmod(F.xxhash64("id", "size", F.lit(seed)), groups).alias("bucket"), F.struct("size", "id", "base", "p", uniform(F.col("id"), F.col("size"), seed=seed).alias("u")).alias("item"))
-    most = sources.agg(F.max(groups)).first()[0] or 1
+    groups = F.greatest(F.lit(1), F.ceil(F.col("rows") / FAN))
+    item = F.struct("size", "id", "twin", "base", "p", uniform(F.col("id"), F.col("size"), F.col("twin"), seed=seed).alias("u"))
+    level = rows.where(open_).select("source", F.pmod(F.xxhash64("id", "size", "twin", F.lit(seed)), groups).alias("bucket"), item.alias("item"))
+    most = sources.agg(F.max(F.greatest(F.lit(1), F.ceil(F.col("n") / FAN)))).first()[0] or 1
     parts, depth = [settled], 0
     while True:
         depth += 1
@@ -108,9 +140,9 @@ def mix(docs: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights: tuple
         if most <= 1:
             break
         most = -(-most // FAN)
-        again = F.struct("open.size", "open.id", "open.base", "open.p", uniform(F.col("open.id"), F.col("open.size"), F.lit(depth), seed=seed).alias("u"))
+        again = F.struct("open.size", "open.id", "open.twin", "open.base", "open.p", uniform(F.col("open.id"), F.col("open.size"), F.col("open.twin"), F.lit(depth), seed=seed).alias("u"))
         level = done.select("source", F.floor(F.col("bucket") / FAN).alias("bucket"), again.alias("item"))
-    last = uniform(F.col("open.id"), F.col("open.size"), F.lit(-1), seed=seed) < F.col("open.p")
+    last = uniform(F.col("open.id"), F.col("open.size"), F.col("open.twin"), F.lit(-1), seed=seed) < F.col("open.p")
     parts.append(done.select("open.id", "source", "open.size", (F.col("open.base") + last.cast("int")).alias("copies")))
-    out = reduce(DataFrame.unionByName, parts).join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s", "n")
+    out = reduce(DataFrame.unionByName, parts).join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s", "rows")
     return out.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

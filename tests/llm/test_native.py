@@ -1,11 +1,12 @@
+import glob
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.llm import licenses, mixing, url_filter
+from loamline.llm import common, licenses, mixing, url_filter
 from loamline.llm.common import Stash
 
 from .fixtures import awkward_rows, frame
@@ -130,11 +131,30 @@ def test_mixing_meets_targets_and_repeats_itself(spark):
     assert [(r.taken, r.target) for r in blank] == [(0, 0.0)] * 2
 
 
+def test_equal_rows_are_dealt_out_and_many_sources_ranked(spark):
+    same = [(None, "a b c", "en", "hot")] * 9000 + [(7, "a b c d", "en", "hot")] * 700 + [(k, "x " * (k % 9), "en", f"s{k % 700:03d}" if k % 701 else None) for k in range(3000)]
+    docs = frame(spark, same)
+    got = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(t.split())) for i, t, *_ in same)
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, t, _, s in same:
+        sizes[s] += len(t.split())
+    want = plain_targets(sizes, 1.5, 2.0, (5, 2, 1))
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.target == pytest.approx(want[r.source])
+    assert all(abs(taken[s] - want[s]) < 9 for s in sizes)
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert Counter((r.doc_id, r.source, r.taken) for r in again) == Counter((r.doc_id, r.source, r.taken) for r in got)
+    biggest = spark.read.parquet(*glob.glob(f"{common.shared_dir(spark).removeprefix('file://')}/loamline-mixing-*/level1")).select(F.max(F.size("done"))).first()[0]
+    assert biggest < 4 * mixing.FAN
+
+
 def test_one_fold_keeps_words_and_expectations(spark):
     items = [(10, 1, 0, 0.3), (7, 2, 0, 0.3), (4, 3, 1, 0.3), (2, 4, 0, 0.3)]
     draws = spark.range(4000).select(F.col("id").alias("draw"))
     for size, i, base, p in items:
-        item = F.struct(F.lit(size).cast("long").alias("size"), F.lit(i).cast("long").alias("id"), F.lit(base).alias("base"), F.lit(p).alias("p"), mixing.uniform(F.col("draw"), F.lit(i), seed=1).alias("u"))
+        item = F.struct(F.lit(size).cast("long").alias("size"), F.lit(i).cast("long").alias("id"), F.lit(0).cast("long").alias("twin"), F.lit(base).alias("base"), F.lit(p).alias("p"), mixing.uniform(F.col("draw"), F.lit(i), seed=1).alias("u"))
         draws = draws.withColumn(f"i{i}", item)
     x = draws.select("draw", mixing.folded(F.array("i1", "i2", "i3", "i4")).alias("x")).collect()
     extra = defaultdict(float)
