@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -6,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.llm import language
+from tokenizers import Tokenizer
+
+from loamline.llm import language, registry
 from loamline.llm.shingles import word_hashes
 
 from .fixtures import SF, awkward_rows, frame
@@ -137,13 +140,45 @@ def test_pipeline_keeps_what_it_should(spark):
     assert und and not und & ids[1] and {r.doc_id for r in docs.select("doc_id").collect()} <= ids[1]
     from .test_near import plain_components
 
+    # Rows that repeat an id and its text are copies, those that repeat it with another text are not.
     want = {i for i, _, root in plain_components([(r.doc_id, r.text) for r in kept[1].collect()]) if i == root}
     assert ids[2] == want and kept[2].count() == len(want)
     assert ids[3] <= ids[2] and kept[3].groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
-    pieces = corpus_pipeline.packed(spark, kept[3], SF)
-    assert {r.doc_id for r in pieces.select("doc_id").collect()} == ids[3]
+    texts = {r.doc_id: r.text for r in kept[2].collect()}
+    assert all(texts[r.doc_id] == r.text for r in kept[3].collect())
+    # The pieces of the last stage, held against the library.
+    library = Tokenizer.from_file(registry.tokenizer_file())
+    took, covered = Counter(r.doc_id for r in kept[3].collect()), defaultdict(list)
+    for p in corpus_pipeline.packed(spark, kept[3], SF).collect():
+        covered[p.doc_id].append(p)
+    assert set(covered) == ids[3]
+    for i, pieces in covered.items():
+        want = np.array([*library.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
+        assert sum(p.length for p in pieces) == len(want) * took[i] and {p.doc_tokens for p in pieces} == {len(want)}
+        assert all(p.ids_crc32 == zlib.crc32(want[p.start : p.start + p.length].tobytes()) for p in pieces)
+        assert Counter(k for p in pieces for k in range(p.start, p.start + p.length)) == Counter({k: took[i] for k in range(len(want))})
     empty = kept[0].limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.collect() == []
         empty = kept[0].limit(0)
+
+
+def test_pipeline_keeps_rows_without_ids_and_with_shared_ids(spark):
+    import corpus_pipeline
+
+    from .fixtures import words
+
+    rng = random.Random(4)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, component_id long"
+    rows = [(None, a), (None, b), (None, a + " z"), (5, c), (5, d), (6, d), (5, c), (7, "12 34 56"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", 1, "x", 9) for k, (i, t) in enumerate(rows)], schema)
+    told = corpus_pipeline.identified(spark, docs, SF)
+    assert told.columns == docs.columns and told.count() == 7
+    kept = corpus_pipeline.distinct_texts(spark, told, SF)
+    assert kept.columns == docs.columns
+    assert sorted(r.text[:9] for r in kept.collect()) == sorted(t[:9] for t in (a, b, c, d))
+    mix = corpus_pipeline.mixed(spark, kept, SF)
+    assert mix.columns == docs.columns and 0 < mix.count() <= 8 and {r.text for r in mix.collect()} <= {a, a + " z", b, c, d}
+    assert corpus_pipeline.packed(spark, mix, SF).count() > 0
