@@ -1,8 +1,10 @@
 import glob
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +181,40 @@ def test_licences_are_found_in_any_dress(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_notices_are_cut_out_of_their_lines_and_texts_stay(spark):
+    mit, apache = licenses.KNOWN[0][1], dict(licenses.known_texts())["Apache-2.0"]
+    gpl = dict(licenses.known_texts())["GPL-3.0-only"]
+    flat = " ".join(mit.split())
+    essay = "Copyright 2024 was the year in which this essay, which has nothing to do with software, was written, and it goes on for a good while after that. " * 3
+    rows = {
+        1: ("MIT License Copyright (c) 2019-2024 Jane Doe, Inc. " + flat, "MIT"),
+        2: ("Copyright \u00a9 2024 Jane Doe. All rights reserved. " + flat, "MIT"),
+        3: (essay, None),
+        4: (essay + "more", None),
+        5: (mit.replace('"', "\u201c").replace(" ", "\u00a0"), "MIT"),
+        6: ("Copyright The Example Authors\n\n" + apache.replace("--", "\u2014").upper(), "Apache-2.0"),
+        7: (gpl.replace("\n", "\r\n"), "GPL-3.0-only"),
+        8: ("Copyright (C) 2001, 2002 by A B <a@b.c>\n" + mit, "MIT"),
+        9: ("The committee met. (c) was its third point, and " + flat, None),
+        10: (mit + "\n(c) 2020 Z", "MIT"),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.digest) for r in licenses.scan(docs).collect()}
+    assert {i: g[0] for i, g in got.items()} == {i: w for i, (_, w) in rows.items()}
+    assert len({got[k][1] for k in (3, 4, 9)}) == 3 and hashlib.sha256(b"").hexdigest() not in {g[1] for g in got.values()}
+    # The SQL tells the same.
+    base = duckdb.connect()
+    base.execute("create table documents (doc_id bigint, text varchar)")
+    base.executemany("insert into documents values (?, ?)", [(i, t) for i, (t, _) in rows.items()])
+    assert {i: (found, mark) for i, mark, found in base.execute(licenses.scan_sql()).fetchall()} == got
+
+
+def test_all_known_texts_are_told_apart(spark):
+    known = licenses.known_licenses(spark, licenses.known_texts()).collect()
+    assert {r.license for r in known} == {name for name, _ in licenses.known_texts()}
+    assert len({r.license_digest for r in known}) == len(known)
+
+
 def test_plans_have_no_python(spark):
     docs = frame(spark, awkward_rows())
     for df in (mixing.mix(docs), licenses.scan(docs), url_filter.filter_urls(docs.select("doc_id", F.col("text").alias("url")), RULES)):
