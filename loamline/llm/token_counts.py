@@ -27,6 +27,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -42,53 +43,61 @@ _BLANK = regex.compile(f"[{WHITE}]")
 CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Chunks of up to so many characters are remembered, and how many of them by a worker.
 SHORT, REMEMBERED = 64, 500_000
+#: Stands for the token before the first; above all ids.
+START = (1 << 24) - 1
 
 
 class PrefixCounter:
     """Exact token counts of all prefixes for one byte-level BPE file."""
 
     def __init__(self, pairs: BytePairs):
-        self.pairs, self.known = pairs, pairs.ranks
-        sizes: dict[bytes, set[int]] = {}
-        for token in self.known:
-            sizes.setdefault(token[-3:], {2, 1}).add(len(token))
-        #: Lengths of the entries that can end with three bytes, the longest first.
-        self.ending = {tail: tuple(sorted(own, reverse=True)) for tail, own in sizes.items()}
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs = pairs
+        #: What an entry's id stands for, and an automaton that finds all entries in a run of bytes.
+        self.spelled = {i: token for token, i in pairs.ranks.items()}
+        self.entries = ahocorasick.Automaton()
+        for token, i in pairs.ranks.items():
+            self.entries.add_word(token.decode("latin-1"), (len(token), i))
+        self.entries.make_automaton()
+        #: Whether an entry keeps its form after another, by both ids; the first id is ``START`` at the start.
+        self.follows: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.special = sorted(pairs.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
-    def _stable(self, key: tuple[bytes, bytes]) -> bool:
-        """Whether a token keeps its form after another (empty: at the start); the answer is remembered."""
+    def _stable(self, key: int) -> bool:
+        """Whether a token keeps its form after another; the answer is remembered."""
         if len(self.follows) > REMEMBERED:
             self.follows.clear()
-        known = self.follows[key] = self.pairs.encoding._encode_single_piece(b"".join(key)) == [self.known[x] for x in key if x]
+        before, token = divmod(key, START + 1)
+        ids = [token] if before == START else [before, token]
+        known = self.follows[key] = self.pairs.encoding._encode_single_piece(b"".join(self.spelled[i] for i in ids)) == ids
         return known
 
     def _piece(self, piece: str) -> list[int]:
         """The recurrence over one pre-token: entry k is of its first k + 1 characters."""
-        raw = piece.encode("utf-8")
-        ending, known, follows = self.ending, self.known, self.follows
-        count, last = [0], [b""]
-        for i in range(1, len(raw) + 1):
-            for size in ending.get(raw[max(0, i - 3) : i], (2, 1)):
-                if size <= i and (token := raw[i - size : i]) in known:
-                    key = (last[i - size], token)
-                    if (fits := follows.get(key)) is None:
-                        fits = self._stable(key)
-                    if fits:
-                        count.append(count[i - size] + 1)
-                        last.append(token)
-                        break
+        raw = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
+        follows, done = self.follows, 0
+        count, last = [0] * (len(raw) + 1), [START] * (len(raw) + 1)
+        # All entries that end at a place come one after the other; one of them is the last token there.
+        for end, (size, token) in self.entries.iter(raw):
+            if end >= done:
+                key = last[end + 1 - size] * (START + 1) + token
+                if (fits := follows.get(key)) is None:
+                    fits = self._stable(key)
+                if fits:
+                    done = end + 1
+                    count[done] = count[done - size] + 1
+                    last[done] = token
         if len(raw) == len(piece):
             return count[1:]
-        return [count[i] for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+        return [count[i] for i in range(1, len(raw) + 1) if i == len(raw) or ord(raw[i]) & 0xC0 != 0x80]
 
     def counted(self, text: str) -> list[int]:
         """Entry k: the tokens of the first k + 1 characters of a text without special strings."""
-        out, done, first = [], 0, None
         pieces = _PIECES.findall(text)
+        if len(pieces) == 1 and text not in CONTRACTIONS:
+            return self._piece(text)
+        out, done, first = [], 0, None
         for k, piece in enumerate(pieces):
             after = pieces[k + 1][0] if k + 1 < len(pieces) else ""
             if after and _BLANK.match(after) and _BLANK.match(piece[-1]):
