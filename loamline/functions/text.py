@@ -11,10 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The patterns of what is replaced by marks, and the words that tell SQL.
 _S = r"[\t\n\f\r ]*"
 _GUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 _STAMP = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"
-_WHOLE = r"(?<![0-9A-Za-z_])\d{%s,}(?![0-9A-Za-z_])"
+_WHOLE = r"(?=\d)(?<![0-9A-Za-z_])\d{%s,}(?![0-9A-Za-z_])"
 #: Words, one of which marks a line as holding SQL.
 SQL_WORDS = ["select", "insert", "update", "delete", "exec", "from", "where", "join", "union", "dbmssql", "dbpostgrs", "sql=", "query="]
 
@@ -23,9 +24,13 @@ def replaced(text: Column, *rules: tuple[str, str]) -> Column:
     return reduce(lambda c, rule: F.regexp_replace(c, F.lit(rule[0]), F.lit(rule[1])), rules, text)
 
 
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(text: Column) -> Column:
     """Without white space (Unicode's) at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def _named(ru: str, en: str, mark: str) -> list[tuple[str, str]]:
@@ -34,7 +39,21 @@ def _named(ru: str, en: str, mark: str) -> list[tuple[str, str]]:
     return [(russian, f"{ru}: <{mark}>"), (rf"(?iu){en}{_S}:{_S}(?!<{mark}>)[^,]+", f"{en}: <{mark}>")]
 
 
-_NAMES = [*_named("компьютер", "computer", "COMPUTER"), *_named("пользователь", "user", "USER")]
+#: Rules by what a text must hold, in lower case, for them to change anything.
+_NAMES = [(("компьютер", "computer"), _named("компьютер", "computer", "COMPUTER")), (("пользователь", "user"), _named("пользователь", "user", "USER"))]
+
+
+def unnamed(text: Column) -> Column:
+    """Names of computers and users replaced by marks; texts without these words are left at once."""
+
+    def changed(low: Column) -> Column:
+        out = text
+        for words, rules in _NAMES:
+            held = reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])
+            out = F.when(held, replaced(out, *rules)).otherwise(out)
+        return out
+
+    return bound(F.translate(F.lower(text), "\u017f", "s"), changed)
 
 
 def comment_fingerprint(comment: Column) -> Column:
@@ -42,7 +61,8 @@ def comment_fingerprint(comment: Column) -> Column:
 
     In order: GUIDs, times, computers, users, whole numbers, quoted strings; then trimmed.
     """
-    return trimmed(replaced(comment, (_GUID, "<GUID>"), (_STAMP, "<TIMESTAMP>"), *_NAMES, (_WHOLE % 1, "<NUMBER>"), ('"[^"]*"', "<STRING>")))
+    plain = replaced(comment, (_GUID, "<GUID>"), (_STAMP, "<TIMESTAMP>"))
+    return bound(plain, lambda text: trimmed(replaced(unnamed(text), (_WHOLE % 1, "<NUMBER>"), ('"[^"]*"', "<STRING>"))))
 
 
 def holds_sql(line: Column) -> Column:
@@ -81,10 +101,12 @@ def line_fingerprint(line: Column) -> Column:
 
     def statement(plain: Column) -> Column:
         kind = dbms_of(plain)
-        unwrap = holds_sql(plain) & ((kind == "DBMSSQL") | ((kind == "") & plain.rlike(r"#tt\d")))
+        unwrap = ((kind == "DBMSSQL") | ((kind == "") & plain.rlike(r"#tt\d"))) & holds_sql(plain)
         return F.when(unwrap, mssql_statement(plain)).otherwise(plain)
 
-    return trimmed(replaced(bound(postgres_statement(line), statement), (_GUID, "<GUID>"), (_STAMP, "<TIMESTAMP>"), *_NAMES, (_WHOLE % 6, "<NUMBER>")))
+    plain = F.when(F.contains(line, F.lit("$")), postgres_statement(line)).otherwise(line)
+    marked = replaced(bound(plain, statement), (_GUID, "<GUID>"), (_STAMP, "<TIMESTAMP>"))
+    return bound(marked, lambda text: trimmed(replaced(unnamed(text), (_WHOLE % 6, "<NUMBER>"))))
 
 
 def utc_text(ts: Column) -> Column:

@@ -7,45 +7,53 @@ from pyspark.sql import functions as F
 
 from ..schemas import NEVER_KEPT, PROMOTED, TECH_LOG, UNFILLED, columns
 from .rowhash import TECH_FIELDS, row_hash
-from .text import bound, line_fingerprint, once, trimmed, unsigned
+from .text import bound, line_fingerprint, trimmed, unsigned
 
 #: key=value with a value in double or single quotes (doubled inside) or up to a comma; an
-#: unterminated quote takes the rest of the line and counts as empty.
-PROPERTY = r"""([^=]*)=(?:"((?:[^"]|"")*)"|'((?:[^']|'')*)'|(["'])[^=]*|([^,]*)),?"""
-PROPERTY_SPLIT = r"""[^=]*=(?:"(?:[^"]|"")*"|'(?:[^']|'')*'|["'][^=]*|[^,]*),?"""
-GUID_PART = r"(?<=[/\\])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?=[/\\]|$)"
-STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+#: unterminated quote takes the rest of the line up to a ``=`` and counts as empty.
+PROPERTY = r"""([^=]*+)=("[^"]*+(?:""[^"]*+)*"|'[^']*+(?:''[^']*+)*'|["'][^=]*|[^,]*),?"""
+GUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 def properties(text: Column) -> Column:
-    """The property list of a line as a map; the last of repeated keys counts."""
+    """The property list of a line as a map; the last of repeated keys counts.
 
-    def entry(part: Column) -> Column:
-        key = trimmed(F.regexp_extract(part, PROPERTY, 1))
-        double, single, bare = (F.regexp_extract(part, PROPERTY, k) for k in (2, 3, 5))
-        value = F.when(double != "", F.replace(double, F.lit('""'), F.lit('"'))).when(single != "", F.replace(single, F.lit("''"), F.lit("'"))).otherwise(trimmed(bare))
-        return F.struct(key.alias("key"), value.alias("value"))
+    Two passes over the line give all keys and all values as they are written.
+    """
+
+    def value(raw: Column) -> Column:
+        def quoted(mark: str) -> Column:
+            inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
+            whole = (F.length(raw) > 1) & F.endswith(raw, F.lit(mark))
+            return F.when(whole, F.replace(inner, F.lit(mark * 2), F.lit(mark))).otherwise("")
 
-    found = F.transform(F.regexp_extract_all(text, F.lit(PROPERTY_SPLIT), F.lit(0)), entry)
-    return last_wins(F.filter(found, lambda e: e["key"] != ""))
+        return F.when(F.startswith(raw, F.lit('"')), quoted('"')).when(F.startswith(raw, F.lit("'")), quoted("'")).otherwise(trimmed(raw))
 
+    keys = F.transform(F.regexp_extract_all(text, F.lit(PROPERTY), F.lit(1)), trimmed)
+    values = F.transform(F.regexp_extract_all(text, F.lit(PROPERTY), F.lit(2)), value)
+    return F.map_filter(last_wins(keys, values), lambda k, v: k != "")
 
-def last_wins(entries: Column) -> Column:
-    """A map from (key, value) entries; independent of the session's policy for repeated keys."""
+
+def last_wins(keys: Column, values: Column) -> Column:
+    """A map of keys and values; independent of the session's policy for repeated keys."""
 
     def picked(all_: Column) -> Column:
-        keys = F.transform(all_, lambda e: e["key"])
-        last = F.filter(all_, lambda e, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), e["key"]) == 0)
-        return F.map_from_entries(last)
+        def reduced(entries: Column) -> Column:
+            last = F.filter(entries, lambda e, i: F.array_position(F.slice(all_, i + 2, F.size(all_)), e["k"]) == 0)
+            return F.map_from_entries(last)
+
+        entries = F.zip_with(all_, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+        once = F.size(F.array_distinct(all_)) == F.size(all_)
+        return F.when(once, F.map_from_arrays(all_, values)).otherwise(reduced(entries))
 
-    return bound(entries, picked)
+    return bound(keys, picked)
 
 
 def plain_stamp(head: Column) -> tuple[Column, Column]:
     """Time and duration of ``2024-01-31T10:20:30.000001-15``; null where either is malformed."""
     time = F.regexp_extract(head, r"^(.*)-([^-]*)$", 1)
     exact = time.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}$")
-    return F.when(exact, F.try_to_timestamp(time, F.lit(STAMP))), unsigned(F.regexp_extract(head, r"-([^-]*)$", 1), "u64")
+    return F.when(exact, time.try_cast("timestamp")), unsigned(F.regexp_extract(head, r"-([^-]*)$", 1), "u64")
 
 
 def hourly_stamp(head: Column, hour: Column) -> tuple[Column, Column]:
@@ -67,12 +75,20 @@ def file_hour(name: Column) -> Column:
     return F.try_to_timestamp(F.concat(F.lit("20"), digits), F.lit("yyyyMMddHH"))
 
 
+def guids_of(path: Column) -> Column:
+    """``cluster`` and ``infobase`` of a path: its last two directories that are GUIDs; empty if there are fewer."""
+    found = F.filter(F.split(F.lower(path), r"[/\\]"), lambda part: (F.length(part) == 36) & part.rlike(GUID))
+
+    def last_two(guids: Column) -> Column:
+        both = F.size(guids) >= 2
+        return F.struct(*(F.when(both, F.try_element_at(guids, F.lit(k))).otherwise("").alias(n) for k, n in ((-2, "cluster"), (-1, "infobase"))))
+
+    return bound(found, last_two)
+
+
 def path_guids(path: Column) -> tuple[Column, Column]:
-    """Cluster and infobase of a path: its last two directories that are GUIDs; empty if there are fewer."""
-    folders = F.regexp_replace(F.lower(path), r"[^/\\]*\.[^/\\]*$", "")
-    found = F.regexp_extract_all(F.concat(F.lit("/"), folders), F.lit(GUID_PART), F.lit(0))
-    both = F.size(found) >= 2
-    return tuple(F.when(both, F.try_element_at(found, F.lit(k))).otherwise("") for k in (-2, -1))
+    both = guids_of(path)
+    return both["cluster"], both["infobase"]
 
 
 def coerced(raw: Column, kind: str) -> Column:
@@ -108,35 +124,36 @@ KNOWN_KEYS = sorted({k for p in PROMOTED for k in p.keys} | NEVER_KEPT)
 JSON_CORE = ["ts", "duration", "name", "depth"]
 
 
-def split_text(lines: DataFrame) -> DataFrame:
-    """Text lines (value, hour) as ts, duration, name, depth, props; malformed lines are dropped."""
-    parts = F.split("value", ",", 3)
-    head = parts[0]
-    stamp, took = plain_stamp(head)
-    in_hour, its = hourly_stamp(head, F.col("hour"))
-    plain = is_plain(F.col("value"))
-    rows = lines.where(F.length("value") <= 1 << 20).withColumns({
-        "ts": F.when(plain, stamp).otherwise(in_hour), "duration": F.when(plain, took).otherwise(its),
-        "name": F.get(parts, F.lit(1)), "rest": F.get(parts, F.lit(2)),
-    })
-    # The third part starts with the depth.
-    rows = rows.withColumn("depth", unsigned(F.regexp_extract("rest", r"^([^,]*)", 1), "u8")).withColumn("props", properties(F.regexp_extract("rest", r"^[^,]*,(?s)(.*)$", 1)))
-    return rows.where(F.col("ts").isNotNull() & F.col("duration").isNotNull() & F.col("depth").isNotNull()).drop("rest", "hour")
-
+def split_lines(lines: DataFrame) -> DataFrame:
+    """Lines (value, path) as ts, duration, name, depth, props; malformed ones are dropped.
 
-def split_json(lines: DataFrame) -> DataFrame:
-    """JSON lines (value) as ts, duration, name, depth, props; lines that are no object or have a bad time go."""
-    text = F.regexp_replace("value", "^﻿", "")
-    entries = F.map_entries(F.from_json(text, "map<string,string>"))
-    rows = lines.withColumn("all", last_wins(F.filter(entries, lambda e: e["value"].isNotNull()))).where("all is not null")
+    Each line is told by its first character: JSON objects have one.  A text line is cut
+    at its first commas; properties are parsed apart from that, so that rows which a filter
+    on time or name drops are dropped before.
+    """
+    text = F.regexp_replace("value", "^\ufeff", "")
+    rows = lines.withColumn("json", text.startswith("{"))
+    whole = F.when(F.col("json"), F.from_json(text, "map<string,string>"))
+    rows = rows.withColumns({"all": last_wins(F.map_keys(whole), F.map_values(whole)), "parts": F.split("value", ",", 3)})
+    # Fields of JSON lines; a null value counts as none.
     item = lambda k: F.element_at("all", F.lit(k))
+    json_stamp = F.when(item("ts").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}$"), item("ts").try_cast("timestamp"))
+    # Fields of text lines; the third part starts with the depth.
+    head, rest = F.get("parts", F.lit(0)), F.get("parts", F.lit(2))
+    stamp, took = plain_stamp(head)
+    in_hour, its = hourly_stamp(head, file_hour(F.regexp_extract("path", r"([^/\\]*)$", 1)))
+    plain = is_plain(F.col("value"))
+    either = lambda a, b: F.when(F.col("json"), a).otherwise(b)
     rows = rows.withColumns({
-        "ts": F.when(item("ts").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}$"), F.try_to_timestamp(item("ts"), F.lit(STAMP))),
-        "duration": F.when(item("duration").isNull(), F.lit(0)).otherwise(unsigned(item("duration"), "u64")),
-        "name": F.coalesce(item("name"), F.lit("")), "depth": F.coalesce(unsigned(item("depth"), "u8"), F.lit(0).cast("smallint")),
-        "props": F.map_filter("all", lambda k, v: ~k.isin(*JSON_CORE)),
+        "ts": either(json_stamp, F.when(plain, stamp).otherwise(in_hour)),
+        "duration": either(F.when(item("duration").isNull(), F.lit(0)).otherwise(unsigned(item("duration"), "u64")), F.when(plain, took).otherwise(its)),
+        "name": either(F.coalesce(item("name"), F.lit("")), F.get("parts", F.lit(1))),
+        "depth": either(F.coalesce(unsigned(item("depth"), "u8"), F.lit(0).cast("smallint")), unsigned(F.substring_index(rest, ",", 1), "u8")),
     })
-    return rows.where(F.col("ts").isNotNull() & F.col("duration").isNotNull()).drop("all", "hour")
+    rows = rows.where(F.col("ts").isNotNull() & F.col("duration").isNotNull() & F.col("depth").isNotNull())
+    own = F.map_filter("all", lambda k, v: v.isNotNull() & ~k.isin(*JSON_CORE))
+    listed = F.when(F.contains(rest, F.lit(",")), properties(F.substring(rest, F.instr(rest, ",") + 1, F.length(rest))))
+    return rows.withColumn("props", either(own, listed)).drop("json", "all", "parts")
 
 
 def tech_records(lines: DataFrame) -> DataFrame:
@@ -148,17 +165,14 @@ def tech_records(lines: DataFrame) -> DataFrame:
     for name in ("cluster_name", "infobase_name"):
         if name not in lines.columns:
             lines = lines.withColumn(name, F.lit(""))
-    cluster, infobase = path_guids(F.col("path"))
-    base = lines.select("value", file_hour(F.regexp_extract("path", r"([^/\\]*)$", 1)).alias("hour"), cluster.alias("cluster_guid"), infobase.alias("infobase_guid"), "cluster_name", "infobase_name")
-    json = F.regexp_replace(F.col("value"), "^﻿", "").startswith("{")
-    order = ["ts", "duration", "name", "depth", "props", "cluster_guid", "cluster_name", "infobase_guid", "infobase_name", F.col("value").alias("raw_line")]
-    rows = split_text(base.where(~json)).select(order).unionByName(split_json(base.where(json)).select(order))
-    return completed(rows)
+    base = lines.select("value", "path", guids_of(F.col("path")).alias("guids"), "cluster_name", "infobase_name")
+    guids = [F.col(f"guids.{n}").alias(f"{n}_guid") for n in ("cluster", "infobase")]
+    return completed(split_lines(base).select("ts", "duration", "name", "depth", "props", *guids, "cluster_name", "infobase_name", F.col("value").alias("raw_line")))
 
 
 def completed(rows: DataFrame) -> DataFrame:
     """All columns of the table from the core ones and the property map."""
-    rows = once(rows.withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>"))))
+    rows = rows.withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>")))
     props = F.col("props")
     rest = F.map_filter(props, lambda k, v: ~k.isin(*KNOWN_KEYS))
     sorted_rest = F.array_sort(F.map_entries(rest))

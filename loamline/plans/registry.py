@@ -69,7 +69,8 @@ STATEMENT = "'select \"a\", ''b'' from t' || cast(user_id % 3 as {S}) || ' where
 
 
 def trace_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # A line is far longer than the event it is made from, and one small file would be one task.
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(spark.sparkContext.defaultParallelism)
     fields = spark.sql(
         f"select ts, cast(abs(value) * 1000 as bigint) as duration, {NAMES} as name, cast(event_id % 5 as int) as depth, case when event_type = 'error' then 'ERROR' else 'INFO' end as level, 'rphost' as process, event_id % 65536 as os_thread, "
         f"user_id as client_id, 's' || cast(event_id % 97 as string) as session_id, 'u, ' || cast(user_id as string) || ' \"q\"' as usr, {STATEMENT.format(S='string')} as sql, props, user_id, event_id from {{events}}",
@@ -276,6 +277,11 @@ add("progress_one", lambda s, d: guides.progress_one(progress(s, d), FILE), PRO
 add("progress_largest", lambda s, d: guides.progress_largest(progress(s, d)), PRO + f"select cluster_name, infobase_name, file_name, {_R['file_size']} as file_size, {PERCENT} as progress_percent, records_parsed, updated_at from progress where {PERCENT} < 100 order by file_size_bytes desc, file_path limit 10")
 
 
+def json_map(text: Column) -> Column:
+    whole = F.from_json(text, "map<string,string>")
+    return trace.last_wins(F.map_keys(whole), F.map_values(whole))
+
+
 def read(name: str, *columns: str) -> Query:
     return lambda s, d: s.read.parquet(f"{d}/{name}.parquet").select(*columns or "*")
 
@@ -332,7 +338,7 @@ add(
 )
 add("table_counts", lambda s, d: guides.table_counts({n: read(n)(s, d) for n in ("events", "orders", "documents")}), "select 'events' as table_name, count(*) as row_count from events union all select 'orders', count(*) from orders union all select 'documents', count(*) from documents")
 add("url_parts", lambda s, d: read("pages", "page_id", "url")(s, d).select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("host")), "select page_id, split_part(url, '/', 3) as host from pages")
-add("json_properties", lambda s, d: read("events", "event_id", "props")(s, d).select("event_id", F.element_at(trace.last_wins(F.map_entries(F.from_json("props", "map<string,string>"))), "k").alias("k")), "select event_id, json_extract_string(props, '$.k') as k from events")
+add("json_properties", lambda s, d: read("events", "event_id", "props")(s, d).select("event_id", F.element_at(json_map(F.col("props")), "k").alias("k")), "select event_id, json_extract_string(props, '$.k') as k from events")
 add("utc_text", lambda s, d: read("events", "event_id", "ts")(s, d).select("event_id", text.utc_text(F.col("ts")).alias("stamp")), r"select event_id, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\.?0+$', '') || 'Z' as stamp from events")
 add("hour_bucket", lambda s, d: read("events", "event_id", "ts")(s, d).select("event_id", boards.bucket(F.col("ts"), 3600).alias("hour")), "select event_id, date_trunc('hour', ts) as hour from events")
 
