@@ -10,8 +10,9 @@ from .rowhash import TECH_FIELDS, row_hash
 from .text import bound, line_fingerprint, trimmed, unsigned
 
 #: key=value with a value in double or single quotes (doubled inside) or up to a comma; an
-#: unterminated quote takes the rest of the line up to a ``=`` and counts as empty.
-PROPERTY = r"""([^=]*+)=("[^"]*+(?:""[^"]*+)*"|'[^']*+(?:''[^']*+)*'|["'][^=]*|[^,]*),?"""
+#: unterminated quote takes the rest of the line and counts as empty.  Nothing is tried twice,
+#: so that values of any length pass.
+PROPERTY = r"""([^=]*+)=("[^"]*+(?:""[^"]*+)*+"|'[^']*+(?:''[^']*+)*+'|["'][\s\S]*+|[^,]*+),?"""
 GUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
@@ -24,7 +25,8 @@ def properties(text: Column) -> Column:
     def value(raw: Column) -> Column:
         def quoted(mark: str) -> Column:
             inner = F.substring(raw, F.lit(2), F.length(raw) - 2)
-            whole = (F.length(raw) > 1) & F.endswith(raw, F.lit(mark))
+            # Of an unterminated value that ends with a quote, one without its pair is left.
+            whole = (F.length(raw) > 1) & F.endswith(raw, F.lit(mark)) & ~F.contains(F.replace(inner, F.lit(mark * 2), F.lit("")), F.lit(mark))
             return F.when(whole, F.replace(inner, F.lit(mark * 2), F.lit(mark))).otherwise("")
 
         return F.when(F.startswith(raw, F.lit('"')), quoted('"')).when(F.startswith(raw, F.lit("'")), quoted("'")).otherwise(trimmed(raw))

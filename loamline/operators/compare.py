@@ -19,7 +19,7 @@ def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFram
     key = F.struct(*order)
     least = rows.select(key.alias("key")).distinct().orderBy(F.xxhash64("key"), "key").limit(CUTS)
     cuts = least.agg(F.sort_array(F.collect_list("key")).alias("cuts"))
-    spread = rows.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda cut: cut <= key))).drop("cuts")
+    spread = rows.withColumn("cuts", cuts.scalar()).withColumn("part", F.size(F.filter("cuts", lambda cut: cut <= key))).drop("cuts")
     sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     spread = spread.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
@@ -49,6 +49,12 @@ def compared(expected: DataFrame, actual: DataFrame, order: list[str], time: str
 def repeated(rows: DataFrame, key: str = "record_hash") -> DataFrame:
     """Hashes that several rows have, how many, and which columns differ among them."""
     rest = [c for c in rows.columns if c != key]
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("copies"), *(F.approx_count_distinct(F.col(c).cast("string")).alias(f"n_{c}") for c in rest))
-    varied = F.filter(F.array(*(F.when(F.col(f"n_{c}") > 1, F.lit(c)) for c in rest)), lambda x: x.isNotNull())
+
+    def spread(name: str) -> Column:
+        """Whether a column has different values; null is one of its own."""
+        text = F.col(name).cast("string")
+        return F.coalesce(F.min(text) != F.max(text), F.lit(False)) | ((F.count(text) > 0) & (F.count(text) < F.count(F.lit(1))))
+
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("copies"), *(spread(c).alias(f"n_{c}") for c in rest))
+    varied = F.filter(F.array(*(F.when(F.col(f"n_{c}"), F.lit(c)) for c in rest)), lambda x: x.isNotNull())
     return counts.where("copies > 1").select(key, "copies", varied.alias("varied"))

@@ -142,8 +142,7 @@ EXPLORER = "event_time cluster_name infobase_name level event_presentation user_
 
 
 def explorer(rows: DataFrame, limit: int = 1000) -> DataFrame:
-    tie = ["record_hash"] if "record_hash" in rows.columns else ["comment"]
-    return rows.orderBy(F.desc("event_time"), *tie).limit(limit).select([c for c in EXPLORER if c in rows.columns])
+    return rows.orderBy(F.desc("event_time"), "record_hash").limit(limit).select(EXPLORER)
 
 
 def metadata_top(rows: DataFrame, window: Times | None = None, metadata=None, limit: int = 20) -> DataFrame:

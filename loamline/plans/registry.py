@@ -26,7 +26,12 @@ select event_id, ts as event_time, cast(ts as date) as event_date, 'ib_' || cast
   case event_type when 'error' then 'Ошибка' when 'view' then 'Предупреждение' else 'Информация' end as level,
   case event_type when 'purchase' then 'Данные.Изменение' when 'signup' then 'Данные.Добавление' when 'click' then 'Данные.Удаление' when 'error' then 'Ошибка выполнения' else 'Сеанс.Начало' end as event_presentation,
   case when event_id % 11 = 0 then '' else 'Документ.Obj' || cast(user_id % 20 as {S}) end as metadata_presentation, case when event_id % 22 = 0 then '' else 'meta_' || cast(user_id % 3 as {S}) end as metadata_name,
-  'data ' || cast(event_id % 7 as {S}) as data_presentation,
+  'data ' || cast(event_id % 7 as {S}) as data_presentation, 'value ' || cast(event_id % 13 as {S}) as data, '' as data_separation,
+  case event_type when 'error' then '_$PerformError$_' when 'view' then '_$Session$_.Start' else '_$Data$_.Update' end as event, 'host' || cast(user_id % 9 as {S}) as computer,
+  concat(repeat(cast(user_id % 10 as {S}), 8), '-3333-4333-8333-333333333333') as user_id_text, case when user_id % 2 = 0 then '1CV8C' else 'Designer' end as application,
+  case when user_id % 2 = 0 then 'Тонкий клиент' else 'Конфигуратор' end as application_presentation, event_id % 31 as connection_id, 'c' || cast(event_id % 31 as {S}) as connection,
+  case event_id % 3 when 0 then 'Committed' when 1 then 'RolledBack' else 'NotApplicable' end as transaction_status, cast(event_id % 31 as {S}) as transaction_id, event_id % 31 as transaction_number,
+  ts as transaction_datetime, 'srv' || cast(user_id % 3 as {S}) as server, cast(1540 + user_id % 2 as int) as primary_port, cast(0 as int) as secondary_port,
   'Ошибка ' || cast(event_id as {S}) || ' вид ' || chr(65 + cast((user_id + event_id) % 7 as int)) || ' в "' || event_type || '" ' || {F} || ' user: user_' || cast(user_id as {S}) as comment
 from events"""
 _RE2 = [
@@ -48,12 +53,13 @@ def evlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = spark.sql(EVLOG.format(S="string", F="date_format(ts, 'yyyy-MM-dd HH:mm:ss')").replace("from events", "from {events}"), events=events)
     error = (F.col("level") == "Ошибка") & (F.col("comment") != "")
+    rows = rows.withColumnRenamed("user_id_text", "user_id")
     return rows.withColumn("comment_normalized", F.when(error, text.comment_fingerprint(F.col("comment"))).otherwise("")).withColumn("record_hash", F.sha1(F.col("event_id").cast("string")))
 
 
 EV = (
     "with raw as (" + EVLOG.format(S="varchar", F="strftime(ts, '%Y-%m-%d %H:%M:%S')").replace("chr(65 + cast((user_id + event_id) % 7 as int))", "chr(cast(65 + (user_id + event_id) % 7 as int))")
-    + f"), evlog as (select *, case when level = 'Ошибка' and comment <> '' then {fingerprint_sql('comment')} else '' end as comment_normalized, sha1(cast(event_id as varchar)) as record_hash from raw) "
+    + f"), evlog as (select * rename (user_id_text as user_id), case when level = 'Ошибка' and comment <> '' then {fingerprint_sql('comment')} else '' end as comment_normalized, sha1(cast(event_id as varchar)) as record_hash from raw) "
 )
 ERR = "level in ('Error', 'Ошибка')"
 ERRC = f"{ERR} and (comment_normalized <> '' or comment <> '')"
@@ -209,7 +215,7 @@ _META = "case when metadata_presentation <> '' then metadata_presentation when m
 _NORM = "case when comment_normalized <> '' then comment_normalized else '(без нормализации)' end"
 on_evlog("errors_by_metadata", lambda e: boards.errors_by_metadata(e, MONTH), f"select {_META} as metadata, {_NORM} as fingerprint, count(*) as errors from evlog where {span(MONTH)} and {ERRC} group by 1, 2 order by 3 desc, 1, 2 limit 500")
 on_evlog("errors_by_user", lambda e: boards.errors_by_user(e, MONTH), f"select user_name as \"user\", {_NORM} as fingerprint, count(*) as errors from evlog where {span(MONTH)} and {ERRC} group by 1, 2 order by 3 desc, 1, 2 limit 500")
-_EXPLORER = "event_time, cluster_name, infobase_name, level, event_presentation, user_name, session_id, metadata_presentation, data_presentation, comment, comment_normalized"
+_EXPLORER = "event_time, cluster_name, infobase_name, level, event_presentation, user_name, computer, application_presentation, session_id, connection, transaction_status, transaction_id, metadata_presentation, data_presentation, comment, comment_normalized, server"
 on_evlog("explorer", boards.explorer, f"select {_EXPLORER} from evlog order by event_time desc, record_hash limit 1000")
 on_evlog("metadata_top20", lambda e: boards.metadata_top(e, MONTH), f"select metadata_presentation as metadata, count(*) as events from evlog where {span(MONTH)} and metadata_presentation <> '' group by 1 order by 2 desc, 1 limit 20")
 on_evlog("metadata_types", lambda e: boards.metadata_types(e, MONTH, exact=True), f"select split_part(metadata_presentation, '.', 1) as metadata_type, count(*) as events, count(distinct metadata_presentation) as objects from evlog where {span(MONTH)} and metadata_presentation <> '' group by 1")
@@ -229,7 +235,7 @@ on_evlog("like_probe", lambda e: guides.probe(e, "event_presentation", "%Сеа
 on_evlog("conditional_counts", guides.conditional_counts, "select infobase_name, count(*) as total_records, min(event_time) as first_event, max(event_time) as last_event, count_if(event_presentation like '%Сеанс.Начало%') as session_starts, count_if(event_presentation like '%Сеанс.Завершение%') as session_ends, count_if(comment like '%.dt%' or comment like '%click%') as file_loads from evlog group by 1")
 _SCOPE = f"cluster_guid = '{CLUSTERS[1]}' and infobase_guid = '{BASES[1]}' and {span(MONTH)}"
 on_evlog("tool_event_log_minimal", lambda e: tools.event_log(e, CLUSTERS[1], BASES[1], MONTH, "Error", limit=50), f"select event_time, level, event_presentation, user_name, comment, metadata_presentation from evlog where {_SCOPE} and {ERR} order by event_time desc, record_hash limit 50")
-on_evlog("tool_event_log_full", lambda e: tools.event_log(e, CLUSTERS[1], BASES[1], MONTH, mode="full", limit=0), f"select event_time, cluster_guid, cluster_name, infobase_guid, infobase_name, level, event_presentation, user_name, session_id, metadata_name, metadata_presentation, comment, data_presentation, event_date from evlog where {_SCOPE} order by event_time desc, record_hash limit 1000")
+on_evlog("tool_event_log_full", lambda e: tools.event_log(e, CLUSTERS[1], BASES[1], MONTH, mode="full", limit=0), f"select event_time, cluster_guid, cluster_name, infobase_guid, infobase_name, level, event, event_presentation, user_name, user_id, computer, application, application_presentation, session_id, connection_id, transaction_status, transaction_id, data_separation, metadata_name, metadata_presentation, comment, data, data_presentation, server, primary_port, secondary_port, event_date from evlog where {_SCOPE} order by event_time desc, record_hash limit 1000")
 _ISO = r"regexp_replace(strftime(max(event_time), '%Y-%m-%dT%H:%M:%S.%f'), '\.?0+$', '') || 'Z' as max_timestamp, max(event_time) is not null as has_data"
 on_evlog("tool_actual_timestamp", lambda e: tools.actual_timestamp(e, BASES[2]), f"select {_ISO} from evlog where infobase_guid = '{BASES[2]}'")
 on_evlog("tool_actual_timestamp_empty", lambda e: tools.actual_timestamp(e, "none"), f"select {_ISO} from evlog where infobase_guid = 'none'")
@@ -301,15 +307,29 @@ def hashed_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 add("row_hash", hashed_lines, _LINES)
+
+
+def _hash_sql(fields: list[str], properties: str) -> str:
+    """SHA-1 of the fields' texts, a bar after each, and of ``key=value|`` for the properties, in SQL."""
+    iso = r"regexp_replace(strftime({}, '%Y-%m-%dT%H:%M:%S.%f'), '\.?0+$', '') || 'Z'"
+    return "sha1(concat(" + ", ".join(f"{iso.format(f) if f in rowhash.TIMES else f'coalesce(cast({f} as varchar), ' + chr(39) * 2 + ')'}, '|'" for f in fields) + f", {properties}))"
+
+
+def hashed_events(rows: DataFrame) -> DataFrame:
+    """Every event's hash over all the fields that count, with two properties."""
+    properties = F.create_map(F.lit("session_string"), F.col("session_id").cast("string"), F.lit("computer_id"), F.lit("7"))
+    return rows.select("event_id", rowhash.row_hash(rowhash.EVENT_FIELDS, properties).alias("record_hash"))
+
+
+on_evlog("event_row_hash", hashed_events, f"select event_id, {_hash_sql(rowhash.EVENT_FIELDS, chr(39) + 'computer_id=7|session_string=' + chr(39) + ', cast(session_id as varchar), ' + chr(39) + '|' + chr(39))} as record_hash from evlog")
 add("dedup_in_batch", lambda s, d: store.deduplicated(hashed_lines(s, d).select("record_hash")), f"select distinct record_hash from ({_LINES})")
-add("dedup_against_stored", lambda s, d: store.unseen(hashed_lines(s, d).where("l_orderkey % 3 = 0").select("record_hash"), hashed_lines(s, d).where("l_orderkey % 3 = 1")), f"with h as ({_LINES}) select distinct record_hash from h where l_orderkey % 3 = 0 and record_hash not in (select record_hash from h where l_orderkey % 3 = 1)")
 # Every row is read and belongs to one side: most orders are held against the others.
-add("dedup_all_against_stored", lambda s, d: store.unseen(hashed_lines(s, d).where("l_orderkey % 97 <> 0").select("record_hash"), hashed_lines(s, d).where("l_orderkey % 97 = 0")), f"with h as ({_LINES}) select distinct record_hash from h where l_orderkey % 97 <> 0 and record_hash not in (select record_hash from h where l_orderkey % 97 = 0)")
+add("dedup_against_stored", lambda s, d: store.unseen(hashed_lines(s, d).where("l_orderkey % 97 <> 0").select("record_hash"), hashed_lines(s, d).where("l_orderkey % 97 = 0")), f"with h as ({_LINES}) select distinct record_hash from h where l_orderkey % 97 <> 0 and record_hash not in (select record_hash from h where l_orderkey % 97 = 0)")
 add("repeated_hashes", lambda s, d: compare.repeated(hashed_lines(s, d)).select("record_hash", "copies"), f"select record_hash, count(*) as copies from ({_LINES}) group by 1 having count(*) > 1")
 
 
 def zipped(s: SparkSession, d: str) -> DataFrame:
-    rows = evlog(s, d).where("event_id % 50 = 0").select("event_id", "event_time", "user_name", "comment")
+    rows = evlog(s, d).select("event_id", "event_time", "user_name", "comment")
     other = rows.where("event_id % 3 <> 1 or event_id < 5000").withColumn("user_name", F.when(F.col("event_id") % 100 == 0, F.lit("someone")).otherwise(F.col("user_name")))
     return compare.compared(rows, other, ["event_id"], "event_time", ["user_name", "comment"]).select("place", "status", F.array_join("differs", ",").alias("differs"))
 
@@ -317,21 +337,6 @@ def zipped(s: SparkSession, d: str) -> DataFrame:
 add(
     "compare_by_place",
     zipped,
-    EV.rstrip() + ", a as (select row_number() over (order by event_id) as place, * from evlog where event_id % 50 = 0), b as (select row_number() over (order by event_id) as place, event_id, event_time, case when event_id % 100 = 0 then 'someone' else user_name end as user_name, comment from evlog where event_id % 50 = 0 and (event_id % 3 <> 1 or event_id < 5000)), "
-    "z as (select place, a.event_id is not null as in_a, b.event_id is not null as in_b, case when in_a and in_b then concat_ws(',', case when abs(epoch(a.event_time) - epoch(b.event_time)) > 60 then 'event_time' end, case when not (starts_with(a.user_name, b.user_name) or starts_with(b.user_name, a.user_name)) then 'user_name' end, "
-    "case when not (starts_with(a.comment, b.comment) or starts_with(b.comment, a.comment)) then 'comment' end) else '' end as differs from a full join b using (place)) select place, case when not in_b then 'missing' when not in_a then 'extra' when differs <> '' then 'differs' else 'same' end as status, differs from z",
-)
-
-
-def zipped_all(s: SparkSession, d: str) -> DataFrame:
-    rows = evlog(s, d).select("event_id", "event_time", "user_name", "comment")
-    other = rows.where("event_id % 3 <> 1 or event_id < 5000").withColumn("user_name", F.when(F.col("event_id") % 100 == 0, F.lit("someone")).otherwise(F.col("user_name")))
-    return compare.compared(rows, other, ["event_id"], "event_time", ["user_name", "comment"]).select("place", "status", F.array_join("differs", ",").alias("differs"))
-
-
-add(
-    "compare_all_by_place",
-    zipped_all,
     EV.rstrip() + ", a as (select row_number() over (order by event_id) as place, * from evlog), b as (select row_number() over (order by event_id) as place, event_id, event_time, case when event_id % 100 = 0 then 'someone' else user_name end as user_name, comment from evlog where event_id % 3 <> 1 or event_id < 5000), "
     "z as (select place, a.event_id is not null as in_a, b.event_id is not null as in_b, case when in_a and in_b then concat_ws(',', case when abs(epoch(a.event_time) - epoch(b.event_time)) > 60 then 'event_time' end, case when not (starts_with(a.user_name, b.user_name) or starts_with(b.user_name, a.user_name)) then 'user_name' end, "
     "case when not (starts_with(a.comment, b.comment) or starts_with(b.comment, a.comment)) then 'comment' end) else '' end as differs from a full join b using (place)) select place, case when not in_b then 'missing' when not in_a then 'extra' when differs <> '' then 'differs' else 'same' end as status, differs from z",

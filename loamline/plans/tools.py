@@ -32,7 +32,7 @@ def event_log(rows: DataFrame, cluster: str, infobase: str, window, level: str |
     found = scoped(rows, cluster, infobase, window, "event_time")
     if level:
         found = found.where(F.col("level").isin(level_spellings(level)))
-    return found.orderBy(F.desc("event_time"), "record_hash").limit(bounded(limit)).select([c for c in (FULL_EVENT if mode == "full" else MINIMAL_EVENT) if c in found.columns])
+    return found.orderBy(F.desc("event_time"), "record_hash").limit(bounded(limit)).select(FULL_EVENT if mode == "full" else MINIMAL_EVENT)
 
 
 def tech_log(rows: DataFrame, cluster: str, infobase: str, window, name: str | None = None, mode: str = "minimal", limit: int | None = None) -> DataFrame:

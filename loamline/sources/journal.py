@@ -10,6 +10,7 @@ are read in windows, never whole.
 from __future__ import annotations
 
 import json
+import logging
 import os
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from . import framing
 
+log = logging.getLogger(__name__)
+
 SCHEMA = "path string, end_offset bigint, tokens array<string>, items array<struct<kind:string,value:string>>"
 #: Bytes read at once; a record that is longer makes the window grow.
 WINDOW = 16 << 20
@@ -45,19 +48,31 @@ def files_under(path: str, ending: str) -> list[tuple[str, int]]:
     return sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and x.path.lower().endswith(ending))
 
 
-def read_records(root: str, path: str, start: int, stop: int, keep_empty: bool) -> Iterator[tuple]:
-    """Rows of the records that end in ``(start, stop]``; start 0 is before the header."""
+def read_records(root: str, path: str, start: int, stop: int, keep_empty: bool, escapes: bool = True) -> Iterator[tuple]:
+    """Rows of the records that end in ``(start, stop]``; start 0 is before the header.
+
+    A file that does not start like a journal, or cannot be read, has no rows and is told of in the log.
+    """
     system, _ = file_system(root)
-    with system.open_input_file(path) as file:
+    try:
+        opened = system.open_input_file(path)
+    except FileNotFoundError:
+        log.warning("%s is gone and was skipped", path)
+        return
+    with opened as file:
         if start == 0:
-            start = framing.body_start(file.read_at(min(stop, 4096), 0))
+            try:
+                start = framing.body_start(file.read_at(min(stop, 4096), 0))
+            except ValueError as error:
+                log.warning("%s was skipped: %s", path, error)
+                return
         data, base = b"", start
         while base + len(data) < stop:
-            data += file.read_at(min(WINDOW, stop - base - len(data)), base + len(data))
+            data += file.read_at(min(max(WINDOW, len(data)), stop - base - len(data)), base + len(data))
             used = 0
-            for end, record in framing.records(data):
+            for end, record in framing.records(data, 0, escapes):
                 used = end
-                if (row := framing.record_row(record, keep_empty)) is not None:
+                if (row := framing.record_row(record, keep_empty, escapes)) is not None:
                     yield path, base + end, row[0], row[1]
             data, base = data[used:], base + used
 
@@ -68,23 +83,34 @@ class FilePart(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
+def told(options: dict) -> tuple[bool, bool]:
+    """Whether empty tokens are kept and backslashes escape, as the source's options say."""
+    return options.get("strict", "false").lower() != "true", options.get("escapes", "true").lower() == "true"
+
+
 class JournalReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.keep_empty = options["path"], options.get("strict", "false").lower() != "true"
+        self.root, (self.keep_empty, self.escapes) = options["path"], told(options)
 
     def partitions(self) -> list[FilePart]:
         return [FilePart(path, 0, size) for path, size in files_under(self.root, ".lgp") if size]
 
     def read(self, part: FilePart) -> Iterator[tuple]:
-        yield from read_records(self.root, part.path, part.start, part.stop, self.keep_empty)
+        yield from read_records(self.root, part.path, part.start, part.stop, self.keep_empty, self.escapes)
+
 
+def last_record(file, done: int, size: int, most: int, escapes: bool = True) -> int:
+    """Where the last whole record of about ``most`` bytes from ``done`` ends; more are read until one fits.
 
-def last_record(file, done: int, size: int, most: int) -> int:
-    """Where the last whole record of about ``most`` bytes from ``done`` ends; more are read until one fits."""
-    skip = 0 if done else framing.body_start(file.read_at(min(size, 4096), 0))
+    A file that is no journal (yet) stays where it is.
+    """
+    try:
+        skip = 0 if done else framing.body_start(file.read_at(min(size, 4096), 0))
+    except ValueError:
+        return done
     while True:
         data, last = file.read_at(min(most, size - done), done), 0
-        for last, _ in framing.records(data, skip):
+        for last, _ in framing.records(data, skip, escapes):
             pass
         if last or done + len(data) >= size:
             return done + last
@@ -106,7 +132,7 @@ class JournalStream(DataSourceStreamReader):
     """
 
     def __init__(self, options: dict):
-        self.root, self.keep_empty = options["path"], options.get("strict", "false").lower() != "true"
+        self.root, (self.keep_empty, self.escapes) = options["path"], told(options)
         self.most, self.until_end = int(options.get("maxbytesperfile", BATCH_BYTES)), options.get("untilend", "false").lower() == "true"
         self.known: dict[str, int] = {}
 
@@ -120,7 +146,7 @@ class JournalStream(DataSourceStreamReader):
             done = 0 if size < done else done
             if size > done:
                 with system.open_input_file(path) as file:
-                    done = reached(lambda at: last_record(file, at, size, self.most), done, self.until_end)
+                    done = reached(lambda at: last_record(file, at, size, self.most, self.escapes), done, self.until_end)
             self.known[path] = done
         return {"files": json.dumps(self.known, sort_keys=True)}
 
@@ -136,7 +162,7 @@ class JournalStream(DataSourceStreamReader):
         return parts
 
     def read(self, part: FilePart) -> Iterator[tuple]:
-        yield from read_records(self.root, part.path, part.start, part.stop, self.keep_empty)
+        yield from read_records(self.root, part.path, part.start, part.stop, self.keep_empty, self.escapes)
 
     def commit(self, end: dict) -> None:
         pass
@@ -144,6 +170,7 @@ class JournalStream(DataSourceStreamReader):
 
 class JournalSource(DataSource):
     """Options: ``path``; ``strict`` (true: empty tokens are left out, as other readers do);
+    ``escapes`` (false: a backslash in quotes is a character like any other);
     of streams ``maxbytesperfile`` and ``untilend`` (true: a batch takes all there is)."""
 
     @classmethod
@@ -160,9 +187,9 @@ class JournalSource(DataSource):
         return JournalStream(self.options)
 
 
-def raw_records(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def raw_records(spark: SparkSession, path: str, strict: bool = False, escapes: bool = True) -> DataFrame:
     spark.dataSource.register(JournalSource)
-    return spark.read.format("journal").option("strict", str(strict).lower()).load(path)
+    return spark.read.format("journal").options(strict=str(strict).lower(), escapes=str(escapes).lower()).load(path)
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_event_is_compared(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
-    got = queries()["compare_all_by_place"](spark, SF).collect()
+    got = queries()["compare_by_place"](spark, SF).collect()
     assert len(got) == events.count() and {r.place for r in got} == set(range(1, len(got) + 1))
     assert sum(r.status == "missing" for r in got) == events.where("event_id % 3 = 1 and event_id >= 5000").count()
 
@@ -38,7 +38,7 @@ def test_every_line_is_judged(spark):
     keys = [set(), set()]
     for r in lines:
         keys[r.l_orderkey % 97 != 0].add((r.l_orderkey % 500, r.l_partkey % 10, r.l_returnflag))
-    assert queries()["dedup_all_against_stored"](spark, SF).count() == len(keys[1] - keys[0])
+    assert queries()["dedup_against_stored"](spark, SF).count() == len(keys[1] - keys[0])
 
 
 @pytest.mark.parametrize("kind", ["journal", "tracelog"])
