@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runner
 from ..functions import rowhash, text, trace
-from ..operators import compare, store
+from ..lookups import APPLICATION, EVENT, SEVERITY, TRANSACTION_STATUS
+from ..operators import compare, enrich, store
 from ..schemas import FILE_KEY
-from . import boards, guides, tools
+from ..sources import journal, lines
+from ..streaming import tail
+from . import boards, guides, samples, tools
 
 NOW, CUT = "2024-01-31 00:00:00", "2024-01-25 00:00:00"
 MONTH, DAY, WEEK = ("2024-01-01 00:00:00", NOW), ("2024-01-30 00:00:00", NOW), ("2024-01-24 00:00:00", NOW)
@@ -348,6 +353,56 @@ add("utc_text", lambda s, d: read("events", "event_id", "ts")(s, d).select("even
 add("hour_bucket", lambda s, d: read("events", "event_id", "ts")(s, d).select("event_id", boards.bucket(F.col("ts"), 3600).alias("hour")), "select event_id, date_trunc('hour', ts) as hour from events")
 
 
+# The load as a whole, over files written from events: scan, tokens, dictionary and registry, hashes, storage, stream.
+SITE = samples.site_sql({"severity": SEVERITY, "status": TRANSACTION_STATUS, "application": APPLICATION, "event": EVENT})
+SITE_HASH = _hash_sql(rowhash.EVENT_FIELDS, "(select string_agg(p, '' order by p) from (values ('computer_id=' || cast(computer_number as varchar) || '|'), ('user_id=' || cast(user_number as varchar) || '|'), ('metadata_id=' || cast(metadata_number as varchar) || '|')) t(p))")
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every journal of a site, found below its root and read with its dictionary and registry."""
+    found = [enrich.read_journal(spark, location) for location in lines.journal_locations([samples.write_site(spark, sf_dir)])]
+    return reduce(DataFrame.unionByName, found)
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through finite streams in small batches into the stored table, twice; the second run finds nothing new."""
+    root, lake = samples.write_site(spark, sf_dir), samples.folder(spark)
+    for _ in range(2):
+        runs = []
+        for location in lines.journal_locations([root]):
+            names = runner.journal_names(spark, location)
+            runs.append(tail.follow_journal(spark, location, f"{lake}/event_log", f"{lake}/marks/{location['infobase_guid']}", names, follow=False, deduplicate=False))
+            runs[-1].awaitTermination()
+    return spark.read.parquet(f"{lake}/event_log")
+
+
+def dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dictionary entries of a site, each infobase's own."""
+    rows = None
+    for location in lines.journal_locations([samples.write_site(spark, sf_dir)]):
+        path = journal.files_under(location["path"], "1cv8.lgf")[0][0]
+        own = journal.dictionary(spark, path).withColumn("infobase_guid", F.lit(location["infobase_guid"]))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+_KEYED = "with site as (" + SITE.replace(" from events", f", user_id % 9 + 1 as computer_number, user_id % {samples.USERS} + 1 as user_number, case when event_id % 11 = 0 then 0 else user_id % 20 + 1 end as metadata_number, transaction_number as connection_id, cast(transaction_number as varchar) as transaction_id, '' as data_separation from events") + ") "
+add("journal_load", lambda s, d: loaded(s, d).select(samples.SHOWN), SITE)
+add("journal_hashes", lambda s, d: loaded(s, d).select("infobase_guid", "event_time", "record_hash"), _KEYED + f"select infobase_guid, event_time, {SITE_HASH} as record_hash from site")
+add("journal_stream", lambda s, d: streamed(s, d).select("infobase_name", "event_time", "user_name", "comment", "transaction_number"), f"select infobase_name, event_time, user_name, comment, transaction_number from ({SITE})")
+add("journal_errors", lambda s, d: boards.errors_by_infobase(loaded(s, d)), f"select infobase_name as infobase, count(*) as errors_count from ({SITE}) where level = 'Ошибка' group by 1")
+_BASES = ", ".join(f"('{samples.base_guid(k)}')" for k in range(samples.BASES))
+add(
+    "journal_dictionary",
+    dictionaries,
+    f"with bases(infobase_guid) as (values {_BASES}), entries as (select distinct 1 as object_type, user_id % {samples.USERS} + 1 as number, 'user_' || cast(user_id % {samples.USERS} + 1 as varchar) as value, '3f2504e0-4f89-11d3-9a0c-' || lpad(cast(user_id % {samples.USERS} + 1 as varchar), 12, '0') as uuid from events "
+    "union all select 2, n, 'host' || cast(n as varchar), '' from range(1, 10) t(n) union all values (3, 1, '1CV8C', ''), (3, 2, 'Designer', '') "
+    + "union all values " + ", ".join(f"(4, {n}, '{code}', '')" for n, code in enumerate(samples.EVENTS.values(), 1))
+    + " union all select 5, n, 'Документ.Obj' || cast(n as varchar), '6fa459ea-ee8a-3ca4-894e-' || lpad(cast(n as varchar), 12, '0') from range(1, 21) t(n)) select cast(object_type as int) as object_type, cast(number as bigint) as number, value, uuid, infobase_guid from entries, bases",
+)
+add("journal_registry", lambda s, d: journal.registry(s, f"{samples.write_site(s, d)}/reg_1541/1CV8Clst.lst"), f"select '{samples.CLUSTER}' as cluster_guid, 'Main cluster' as cluster_name, infobase_guid, 'base ' || right(infobase_guid, 1) as infobase_name from (values {_BASES}) t(infobase_guid)")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -2,8 +2,9 @@
 
 The journal is followed by its own source (``sources.journal``); trace logs by ``tracelog``,
 which reads what was appended to every log file since the last whole line.  Rows are stored
-batch by batch; a batch that is repeated after a failure adds nothing, as rows are known by
-their hashes, and the checkpoint holds the files' offsets.
+batch by batch, and the checkpoint holds the files' offsets.  A batch that is repeated after a
+failure adds nothing: its number is noted beside the checkpoint once its rows are stored, or,
+with ``deduplicate``, rows are known by their hashes, which also keeps equal records once.
 """
 
 from __future__ import annotations
@@ -104,30 +105,43 @@ def _start(rows: DataFrame, save: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(processingTime=POLL) if follow else writer.trigger(availableNow=True)).start()
 
 
-def follow_traces(spark: SparkSession, folder: str, table: str, checkpoint: str, names: DataFrame | None = None, follow: bool = True) -> StreamingQuery:
+def stored(rows: DataFrame, table: str, layout: str, checkpoint: str, number: int, deduplicate: bool, retry: dict) -> None:
+    """Stores the rows of a stream's batch once."""
+    spark = rows.sparkSession
+    if deduplicate:
+        store.retry(lambda: store.append_unseen(rows, table, layout), **retry)
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}-stored/{number}")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        store.retry(lambda: store.append(rows, table, layout), **retry)
+        system.create(path).close()
+
+
+def follow_traces(spark: SparkSession, folder: str, table: str, checkpoint: str, names: DataFrame | None = None, follow: bool = True, deduplicate: bool = True, retry: dict | None = None) -> StreamingQuery:
     """Stores a folder's trace records as they are written; ``follow=False`` stops when all is read."""
     spark.dataSource.register(LogSource)
     lines = spark.readStream.format("tracelog").option("untilend", not follow).load(folder)
 
-    def save(batch: DataFrame, _: int) -> None:
+    def save(batch: DataFrame, number: int) -> None:
         rows = trace.tech_records(batch)
         rows = rows if names is None else enrich.with_names(rows, names).select(rows.columns)
-        store.retry(lambda: store.append_unseen(rows, table, "tech_log"))
+        stored(rows, table, "tech_log", checkpoint, number, deduplicate, retry or {})
 
     return _start(lines, save, checkpoint, follow)
 
 
-def follow_journal(spark: SparkSession, location: dict, table: str, checkpoint: str, names: dict | None = None, follow: bool = True) -> StreamingQuery:
+def follow_journal(spark: SparkSession, location: dict, table: str, checkpoint: str, names: dict | None = None, follow: bool = True, deduplicate: bool = True, retry: dict | None = None) -> StreamingQuery:
     """Stores a journal's records as they are written; the dictionary is read anew for each batch."""
     spark.dataSource.register(journal.JournalSource)
     records = spark.readStream.format("journal").option("untilend", not follow).load(location["path"])
     shown = {"cluster_guid": "", "cluster_name": "", "infobase_name": ""} | (names or {}) | {"infobase_guid": location["infobase_guid"]}
 
-    def save(batch: DataFrame, _: int) -> None:
+    def save(batch: DataFrame, number: int) -> None:
         rows = batch.withColumns({k: F.lit(v) for k, v in shown.items()})
         path = journal.files_under(location["path"], "1cv8.lgf")[0][0]
         rows = fields.journal_records(enrich.with_dictionary(fields.decoded(rows), journal.dictionary(spark, path)))
-        store.retry(lambda: store.append_unseen(rows, table, "event_log"))
+        stored(rows, table, "event_log", checkpoint, number, deduplicate, retry or {})
 
     return _start(records, save, checkpoint, follow)
 

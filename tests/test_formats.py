@@ -90,3 +90,33 @@ def test_absent_columns_are_an_error(spark):
 def test_columns_that_vary_among_equal_hashes(spark):
     rows = spark.createDataFrame([("h", "a", None, 1), ("h", "a", "x", 1), ("g", "b", None, 1), ("g", "c", None, 1)], "record_hash string, x string, y string, z int")
     assert {r.record_hash: r.varied for r in compare.repeated(rows).collect()} == {"h": ["y"], "g": ["x"]}
+
+
+def test_equal_records_are_kept_and_a_repeated_batch_adds_nothing(spark, tmp_path):
+    from loamline.streaming import tail
+
+    rows = trace.tech_records(spark.createDataFrame([("2024-01-31T10:20:30.000001-15,EXCP,0,a=1", "/x.log")] * 3, "value string, path string"))
+    table, mark = str(tmp_path / "tech"), str(tmp_path / "mark")
+    for _ in range(2):
+        tail.stored(rows, table, "tech_log", mark, 0, False, {})
+    assert spark.read.parquet(table).count() == 3
+    tail.stored(rows, table, "tech_log", mark, 1, False, {"attempts": 1})
+    assert spark.read.parquet(table).count() == 6
+    tail.stored(rows, str(tmp_path / "once"), "tech_log", mark, 0, True, {})
+    assert spark.read.parquet(str(tmp_path / "once")).count() == 1
+
+
+def test_settings_reach_the_ingest(spark, tmp_path):
+    from loamline import runner
+    from loamline.config import load
+
+    cluster, base = "11111111-1111-4111-8111-111111111111", "22222222-2222-4222-8222-222222222222"
+    folder = tmp_path / "logs" / cluster / base / "rphost_1"
+    folder.mkdir(parents=True)
+    (folder / "24013110.log").write_text("20:30.000001-15,EXCP,0,a=1\n" * 4, encoding="utf-8")
+    (tmp_path / "map.yaml").write_text(f"clusters:\n  {cluster}:\n    name: Main\ninfobases:\n  {base}:\n    name: Trade\n    cluster_guid: {cluster}\n", encoding="utf-8")
+    settings = load({"LAKE_DIR": str(tmp_path / "lake"), "TECHLOG_DIRS": str(tmp_path / "logs"), "READ_ONLY": "true", "CLUSTER_MAP_PATH": str(tmp_path / "map.yaml"), "RETRY_MAX_ATTEMPTS": "2"})
+    for query in runner.start(spark, settings):
+        query.awaitTermination(120)
+    rows = spark.read.parquet(f"{settings.lake}/tech_log").collect()
+    assert len(rows) == 4 and {(r.cluster_name, r.infobase_name) for r in rows} == {("Main", "Trade")}
