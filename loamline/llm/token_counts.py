@@ -42,9 +42,10 @@ _BLANK = regex.compile(f"[{WHITE}]")
 #: The pattern's contractions of three characters.
 CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Chunks of up to so many characters are remembered, and how many of them by a worker.
-SHORT, REMEMBERED = 64, 500_000
-#: Stands for the token before the first; above all ids.
-START = (1 << 24) - 1
+SHORT, REMEMBERED = 64, 1_000_000
+#: Bits of an id, and what stands for the token before the first; above all ids.
+SHIFT = 24
+START = (1 << SHIFT) - 1
 
 
 class PrefixCounter:
@@ -61,6 +62,7 @@ class PrefixCounter:
         #: Whether an entry keeps its form after another, by both ids; the first id is ``START`` at the start.
         self.follows: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.special = sorted(pairs.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
@@ -68,7 +70,7 @@ class PrefixCounter:
         """Whether a token keeps its form after another; the answer is remembered."""
         if len(self.follows) > REMEMBERED:
             self.follows.clear()
-        before, token = divmod(key, START + 1)
+        before, token = key >> SHIFT, key & (1 << SHIFT) - 1
         ids = [token] if before == START else [before, token]
         known = self.follows[key] = self.pairs.encoding._encode_single_piece(b"".join(self.spelled[i] for i in ids)) == ids
         return known
@@ -77,26 +79,34 @@ class PrefixCounter:
         """The recurrence over one pre-token: entry k is of its first k + 1 characters."""
         raw = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
         follows, done = self.follows, 0
-        count, last = [0] * (len(raw) + 1), [START] * (len(raw) + 1)
+        count, last = [0] * (len(raw) + 1), [START << SHIFT] * (len(raw) + 1)
         # All entries that end at a place come one after the other; one of them is the last token there.
         for end, (size, token) in self.entries.iter(raw):
             if end >= done:
-                key = last[end + 1 - size] * (START + 1) + token
-                if (fits := follows.get(key)) is None:
-                    fits = self._stable(key)
+                start = end + 1 - size
+                try:
+                    fits = follows[last[start] + token]
+                except KeyError:
+                    fits = self._stable(last[start] + token)
                 if fits:
                     done = end + 1
-                    count[done] = count[done - size] + 1
-                    last[done] = token
+                    count[done] = count[start] + 1
+                    last[done] = token << SHIFT
         if len(raw) == len(piece):
             return count[1:]
         return [count[i] for i in range(1, len(raw) + 1) if i == len(raw) or ord(raw[i]) & 0xC0 != 0x80]
 
     def counted(self, text: str) -> list[int]:
         """Entry k: the tokens of the first k + 1 characters of a text without special strings."""
-        pieces = _PIECES.findall(text)
-        if len(pieces) == 1 and text not in CONTRACTIONS:
+        # What follows one blank at most is one pre-token if it is all letters; so is a last sign behind them.
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha():
             return self._piece(text)
+        if word[:-1].isalpha() and not word[-1].isalnum() and not _BLANK.match(word[-1]):
+            own, last = self._piece(text[:-1]), self._piece(word[-1])[0]
+            own.append(own[-1] + last)
+            return own
+        pieces = _PIECES.findall(text)
         out, done, first = [], 0, None
         for k, piece in enumerate(pieces):
             after = pieces[k + 1][0] if k + 1 < len(pieces) else ""
@@ -117,12 +127,16 @@ class PrefixCounter:
 
     def _chunk(self, chunk: str) -> bytes:
         """Changes of the count at every character of a chunk, a byte each; empty if one needs more."""
-        every = self.counted(chunk)
-        steps = [b - a for a, b in zip([0, *every], every)]
-        known = struct.pack(f"{len(steps)}b", *steps) if max(steps) < 128 and min(steps) > -129 else b""
+        if (known := self.older.get(chunk)) is None:
+            out, before = [], 0
+            for n in self.counted(chunk):
+                out.append(n - before)
+                before = n
+            known = struct.pack(f"{len(out)}b", *out) if len(out) < 32 or (max(out) < 128 and min(out) > -129) else b""
         if len(chunk) <= SHORT:
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
+            if len(self.chunks) >= REMEMBERED // 2:
+                # The half that was asked for last stays.
+                self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = known
         return known
 
@@ -130,8 +144,7 @@ class PrefixCounter:
         """The text's table: the bytes of an entry (1 or 4), then the change of the count at every character."""
         if not self.special or not self.marks.search(text):
             chunks = _CHUNKS.findall(text)
-            known = self.chunks
-            parts = [known.get(c) or self._chunk(c) for c in chunks]
+            parts = [self.chunks.get(c) or self._chunk(c) for c in chunks]
             if all(parts):
                 return b"\x01" + b"".join(parts)
             steps = [np.diff(np.array(self.counted(c), np.int64), prepend=0) for c in chunks]
