@@ -20,13 +20,25 @@ def dimension(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS else df
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A dimension that several joins use, read once: its rows, if they are few, with a broadcast hint."""
+    table = df.limit(DIMENSION_ROWS + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(table)) if table.num_rows <= DIMENSION_ROWS else df
+
+
 def with_dictionary(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Decoded journal rows with ``*_value`` and ``*_uuid`` of their five kinds of numbers; 0 has none."""
-    entries = dimension(entries)
+    """Decoded journal rows with ``*_value`` and ``*_uuid`` of their five kinds of numbers; 0 has none.
+
+    Entries with an ``infobase`` are only those of rows with that ``infobase_guid``.
+    """
+    each = "infobase" in entries.columns
+    entries = held(entries)
+    if each:
+        rows = rows.withColumn("infobase", F.lower("infobase_guid"))
     for name, kind in (("user", USERS), ("computer", COMPUTERS), ("application", APPLICATIONS), ("event", EVENTS), ("metadata", METADATA)):
-        own = entries.where((F.col("object_type") == kind) & (F.col("number") > 0)).select(F.col("number").alias(f"{name}_number"), F.col("value").alias(f"{name}_value"), F.col("uuid").alias(f"{name}_uuid"))
-        rows = rows.join(own, f"{name}_number", "left")
-    return rows
+        own = entries.where((F.col("object_type") == kind) & (F.col("number") > 0)).select(*(["infobase"] if each else []), F.col("number").alias(f"{name}_number"), F.col("value").alias(f"{name}_value"), F.col("uuid").alias(f"{name}_uuid"))
+        rows = rows.join(own, [*(["infobase"] if each else []), f"{name}_number"], "left")
+    return rows.drop("infobase") if each else rows
 
 
 def with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -63,6 +75,26 @@ def read_journal(spark: SparkSession, location: dict, strict: bool = False) -> D
     return fields.journal_records(with_dictionary(fields.decoded(rows), journal.dictionary(spark, dictionary[0])))
 
 
+def read_journals(spark: SparkSession, locations: list[dict], strict: bool = False) -> DataFrame:
+    """``read_journal`` of many locations (in one file system) in one pass: one scan, one dictionary, one table of names.
+
+    Infobases are told by their folders; each takes names from the registry above it.
+    """
+    rows = journal.raw_records(spark, [x["path"] for x in locations], strict).withColumn("infobase_guid", F.regexp_extract("path", r"([^/\\]*)[/\\][^/\\]*[/\\][^/\\]*$", 1))
+    named: dict[str, list] = {}
+    for folder in sorted({x["registry"] for x in locations}):
+        found = [p for p, _ in journal.files_under(folder, "1cv8clst.lst")]
+        named[folder] = journal.registry(spark, found[0]).collect() if found else []
+    names = []
+    for x in locations:
+        known = named[x["registry"]]
+        own = {r.infobase_guid: r.infobase_name for r in known}.get(x["infobase_guid"].lower(), "")
+        names.append((x["infobase_guid"], known[0].cluster_guid if known else "", known[0].cluster_name if known else "", own))
+    table = dimension(spark.createDataFrame(names, "infobase_guid string, cluster_guid string, cluster_name string, infobase_name string").distinct())
+    dictionary = journal.dictionary(spark, [journal.files_under(x["path"], "1cv8.lgf")[0][0] for x in locations], by_infobase=True)
+    return fields.journal_records(with_dictionary(fields.decoded(rows.join(table, "infobase_guid", "left")), dictionary))
+
+
 def read_trace(spark: SparkSession, path: str, names: DataFrame | None = None, join_lines: bool = False) -> DataFrame:
     """The trace log's table from every log file under a folder; optionally with lines of a record joined."""
     text = lines.trace_lines(spark, path)

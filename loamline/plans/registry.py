@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -360,8 +359,7 @@ SITE_HASH = _hash_sql(rowhash.EVENT_FIELDS, "(select string_agg(p, '' order by p
 
 def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every journal of a site, found below its root and read with its dictionary and registry."""
-    found = [enrich.read_journal(spark, location) for location in lines.journal_locations([samples.write_site(spark, sf_dir)])]
-    return reduce(DataFrame.unionByName, found)
+    return enrich.read_journals(spark, lines.journal_locations([samples.write_site(spark, sf_dir)]))
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,12 +376,9 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All dictionary entries of a site, each infobase's own."""
-    rows = None
-    for location in lines.journal_locations([samples.write_site(spark, sf_dir)]):
-        path = journal.files_under(location["path"], "1cv8.lgf")[0][0]
-        own = journal.dictionary(spark, path).withColumn("infobase_guid", F.lit(location["infobase_guid"]))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows
+    found = lines.journal_locations([samples.write_site(spark, sf_dir)])
+    paths = [journal.files_under(x["path"], "1cv8.lgf")[0][0] for x in found]
+    return journal.dictionary(spark, paths, by_infobase=True).withColumnRenamed("infobase", "infobase_guid")
 
 
 _KEYED = "with site as (" + SITE.replace(" from events", f", user_id % 9 + 1 as computer_number, user_id % {samples.USERS} + 1 as user_number, case when event_id % 11 = 0 then 0 else user_id % 20 + 1 end as metadata_number, transaction_number as connection_id, cast(transaction_number as varchar) as transaction_id, '' as data_separation from events") + ") "

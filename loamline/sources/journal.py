@@ -14,7 +14,7 @@ import logging
 import os
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -90,10 +90,11 @@ def told(options: dict) -> tuple[bool, bool]:
 
 class JournalReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, (self.keep_empty, self.escapes) = options["path"], told(options)
+        self.folders, (self.keep_empty, self.escapes) = json.loads(options["folders"]) if "folders" in options else [options["path"]], told(options)
+        self.root = self.folders[0] if self.folders else ""
 
     def partitions(self) -> list[FilePart]:
-        return [FilePart(path, 0, size) for path, size in files_under(self.root, ".lgp") if size]
+        return [FilePart(path, 0, size) for folder in self.folders for path, size in files_under(folder, ".lgp") if size]
 
     def read(self, part: FilePart) -> Iterator[tuple]:
         yield from read_records(self.root, part.path, part.start, part.stop, self.keep_empty, self.escapes)
@@ -169,7 +170,7 @@ class JournalStream(DataSourceStreamReader):
 
 
 class JournalSource(DataSource):
-    """Options: ``path``; ``strict`` (true: empty tokens are left out, as other readers do);
+    """Options: ``path``, or of a batch read ``folders`` (a JSON list in one file system); ``strict`` (true: empty tokens are left out, as other readers do);
     ``escapes`` (false: a backslash in quotes is a character like any other);
     of streams ``maxbytesperfile`` and ``untilend`` (true: a batch takes all there is)."""
 
@@ -187,21 +188,30 @@ class JournalSource(DataSource):
         return JournalStream(self.options)
 
 
-def raw_records(spark: SparkSession, path: str, strict: bool = False, escapes: bool = True) -> DataFrame:
+def raw_records(spark: SparkSession, path: str | list[str], strict: bool = False, escapes: bool = True) -> DataFrame:
     spark.dataSource.register(JournalSource)
-    return spark.read.format("journal").options(strict=str(strict).lower(), escapes=str(escapes).lower()).load(path)
+    reader = spark.read.format("journal").options(strict=str(strict).lower(), escapes=str(escapes).lower())
+    return reader.load(path) if isinstance(path, str) else reader.option("folders", json.dumps(path)).load()
+
+
+def infobase_of(path: Column) -> Column:
+    """The infobase that a file of a journal (``<infobase>/1Cv8Log/<file>``) belongs to."""
+    return F.lower(F.regexp_extract(path, r"([^/\\]*)[/\\][^/\\]*[/\\][^/\\]*$", 1))
 
 
-def dictionary(spark: SparkSession, path: str) -> DataFrame:
+def dictionary(spark: SparkSession, path: str | list[str], by_infobase: bool = False) -> DataFrame:
     """A journal's dictionary file: ``object_type, number, value, uuid``; the last entry of a key counts.
 
     Users (1) and metadata (5) have a GUID before their name and need four parts; types from 9
-    on are no dictionary.  Entries are lines, the first two of which are the header.
+    on are no dictionary.  Entries are lines, the first two of which are the header.  With
+    ``by_infobase`` several files are read, and ``infobase`` tells whose an entry is.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("line_no", "line")).where("line_no >= 2")
+    own = ["infobase"] if by_infobase else []
+    whole = spark.read.text(path, wholetext=True).select("value", infobase_of(F.input_file_name()).alias("infobase"))
+    lines = whole.select(*own, F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("line_no", "line")).where("line_no >= 2")
     body = F.regexp_extract(F.trim("line"), r"^\{(.*)\},?$", 1)
     parts = F.transform(F.regexp_extract_all(body, F.lit(r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"))
-    rows = lines.select("line_no", parts.alias("p")).withColumn("object_type", F.get("p", F.lit(0)).try_cast("int"))
+    rows = lines.select(*own, "line_no", parts.alias("p")).withColumn("object_type", F.get("p", F.lit(0)).try_cast("int"))
     named = F.col("object_type").isin(1, 5)
     four = F.size(F.filter("p", lambda x: x.isNotNull())) >= 4
     rows = rows.where(F.col("object_type").between(1, 8) & (~named | (F.size("p") >= 5) | four))
@@ -209,8 +219,8 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
         "number": F.coalesce(F.when(named, F.get("p", F.lit(3))).otherwise(F.coalesce(F.when(F.get("p", F.lit(3)) != "", F.get("p", F.lit(3))), F.get("p", F.lit(2)))).try_cast("bigint"), F.lit(0)),
         "value": F.when(named, F.get("p", F.lit(2))).otherwise(F.get("p", F.lit(1))), "uuid": F.when(named, F.get("p", F.lit(1))).otherwise(""),
     })
-    last = rows.groupBy("object_type", "number").agg(F.max_by(F.struct("value", "uuid"), "line_no").alias("x"))
-    return last.select("object_type", "number", "x.value", "x.uuid")
+    last = rows.groupBy(*own, "object_type", "number").agg(F.max_by(F.struct("value", "uuid"), "line_no").alias("x"))
+    return last.select(*own, "object_type", "number", "x.value", "x.uuid")
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:

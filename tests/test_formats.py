@@ -120,3 +120,17 @@ def test_settings_reach_the_ingest(spark, tmp_path):
         query.awaitTermination(120)
     rows = spark.read.parquet(f"{settings.lake}/tech_log").collect()
     assert len(rows) == 4 and {(r.cluster_name, r.infobase_name) for r in rows} == {("Main", "Trade")}
+
+
+def test_journals_read_together_are_those_read_one_by_one(spark):
+    from loamline.operators import enrich
+    from loamline.plans import samples
+    from loamline.sources import lines
+
+    found = lines.journal_locations([samples.write_site(spark, "/root/testdata/sf0.001")])
+    assert len(found) == samples.BASES
+    together = enrich.read_journals(spark, found)
+    alone = enrich.read_journal(spark, found[2])
+    guid = found[2]["infobase_guid"]
+    key = lambda df: sorted((r.event_time, r.session_id, r.record_hash, r.user_name, r.infobase_name) for r in df.collect())
+    assert key(together.where(F.col("infobase_guid") == guid)) == key(alone) and together.columns == alone.columns
