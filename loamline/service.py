@@ -137,6 +137,62 @@ def filtered_by_logcfg(rows: DataFrame, xml: str) -> DataFrame:
     return rows.where(kept)
 
 
+#: Every argument of the tools: its JSON type, what it is, and its bounds.
+ARGUMENTS: dict[str, dict[str, Any]] = {
+    "cluster_guid": {"type": "string", "description": "GUID of the cluster, from the cluster map"},
+    "infobase_guid": {"type": "string", "description": "GUID of the infobase, from the cluster map"},
+    "base_id": {"type": "string", "description": "GUID of the infobase whose last stored time is asked for"},
+    "from": {"type": "string", "description": "first time, ISO 8601; ten minutes before the last one if absent"},
+    "to": {"type": "string", "description": "last time, ISO 8601; now if absent"},
+    "level": {"type": "string", "description": "level of the records, in either language; empty for all", "default": "Error"},
+    "name": {"type": "string", "description": "trace event, as EXCP or TLOCK; all if absent"},
+    "mode": {"type": "string", "description": "few columns or all", "enum": ["minimal", "full"], "default": "minimal"},
+    "limit": {"type": "integer", "description": "most records", "minimum": 1, "maximum": tools.MOST, "default": tools.DEFAULT_LIMIT},
+    "config_path": {"type": "string", "description": "the trace configuration file"},
+    "location": {"type": "string", "description": "folder of the trace log; its first two folders are the GUIDs"},
+    "history": {"type": "integer", "description": "hours that trace files are kept", "minimum": 1, "default": 24},
+    "format": {"type": "string", "description": "layout of the trace log", "enum": ["json", "text"], "default": "json"},
+    "events": {"type": "array", "items": {"type": "string"}, "description": "trace events that are written; all if empty"},
+    "properties": {"type": "array", "items": {"type": "string"}, "description": "properties that are written"},
+}
+_SCOPE = ("cluster_guid", "infobase_guid")
+#: What each tool does, the arguments it needs, and those it takes besides.
+TOOLS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
+    "logc_get_event_log": ("Records of an infobase's event journal in a time window, the latest first.", _SCOPE, ("from", "to", "level", "mode", "limit")),
+    "logc_get_tech_log": ("Records of an infobase's trace log in a time window, the latest first.", _SCOPE, ("from", "to", "name", "mode", "limit")),
+    "logc_get_actual_log_timestamp": ("The time of the last stored journal record of an infobase.", (), ("base_id", "infobase_guid")),
+    "logc_configure_techlog": ("Writes a trace configuration file.", (*_SCOPE, "location"), ("config_path", "history", "format", "events", "properties")),
+    "logc_save_techlog": ("Keeps a copy of the trace configuration file.", (), ("config_path",)),
+    "logc_restore_techlog": ("Brings the kept copy of the trace configuration file back.", (), ("config_path",)),
+    "logc_disable_techlog": ("Writes a trace configuration without events.", (), ("config_path",)),
+    "logc_get_techlog_config": ("The text of the trace configuration file.", (), ("config_path",)),
+}
+
+
+def described() -> list[dict]:
+    """The tools with the JSON schemas of their arguments."""
+    return [{"name": name, "description": what, "inputSchema": {"type": "object", "properties": {k: ARGUMENTS[k] for k in (*needed, *more)}, "required": list(needed)}} for name, (what, needed, more) in TOOLS.items()]
+
+
+def checked_arguments(name: str, given: Any) -> dict:
+    """A tool's arguments with the types, choices and bounds that its schema states."""
+    if not isinstance(given, dict):
+        raise Invalid("arguments", "are no object")
+    out = dict(given)
+    if "config_path" in out:
+        out["config"] = out["config_path"]
+    kinds = {"string": str, "integer": int, "array": (list, tuple)}
+    for key in (k for k in (*TOOLS[name][1], *TOOLS[name][2]) if out.get(k) is not None):
+        value, schema = out[key], ARGUMENTS[key]
+        if not isinstance(value, kinds[schema["type"]]) or isinstance(value, bool):
+            raise Invalid(key, f"{value!r} is no {schema['type']}")
+        if "enum" in schema and value not in ("", *schema["enum"]):
+            raise Invalid(key, f"{value!r} is unknown", " or ".join(schema["enum"]))
+        if schema["type"] == "integer" and value < schema["minimum"]:
+            raise Invalid(key, f"{value} is below {schema['minimum']}")
+    return out
+
+
 class Service:
     """The query tools over the stored tables; ``now`` gives the present time, for defaults."""
 
@@ -183,12 +239,12 @@ class Service:
         if method == "initialize":
             result: Any = {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "loamline", "version": "1"}}
         elif method == "tools/list":
-            result = {"tools": [{"name": name} for name in self.tools]}
+            result = {"tools": described()}
         elif method == "tools/call":
             if (tool := self.tools.get(params.get("name", ""))) is None:
                 return failed(UNKNOWN_METHOD, f"unknown tool {params.get('name')!r}", id_)
             try:
-                result = {"content": [{"type": "text", "text": tool(params.get("arguments") or {})}]}
+                result = {"content": [{"type": "text", "text": tool(checked_arguments(params["name"], params.get("arguments") or {}))}]}
             except (Invalid, KeyError) as error:
                 return failed(INVALID_PARAMS, str(error), id_)
             except Exception as error:
@@ -219,13 +275,14 @@ def server(service: Service, port: int, host: str = "127.0.0.1") -> ThreadingHTT
             self.reply(200, '{"status": "ok"}') if self.path == "/health" else self.reply(405, '{"error": "POST only"}')
 
         def do_POST(self) -> None:
-            tool = service.tools.get(self.path.removeprefix("/tools/"))
+            name = self.path.removeprefix("/tools/")
+            tool = service.tools.get(name)
             if tool is None:
                 self.reply(404, '{"error": "unknown tool"}')
                 return
             try:
                 asked = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
-                self.reply(200, tool(asked))
+                self.reply(200, tool(checked_arguments(name, asked)))
             except (Invalid, KeyError, ValueError) as error:
                 self.reply(400, json.dumps({"error": str(error)}, ensure_ascii=False))
 

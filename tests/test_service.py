@@ -64,3 +64,24 @@ def test_tools_over_http(spark):
             post(tool, **arguments)
         assert failed.value.code == code
     http.shutdown()
+
+
+def test_tools_are_described_and_arguments_checked():
+    import json
+
+    from loamline import service
+
+    def unused(_):
+        raise AssertionError
+
+    own = service.Service(None, None)
+    own.tools = dict.fromkeys(own.tools, unused)
+    listed = own.answer('{"jsonrpc": "2.0", "id": 1, "method": "tools/list"}')["result"]["tools"]
+    assert {t["name"] for t in listed} == set(own.tools) == set(service.TOOLS)
+    for tool in listed:
+        schema = tool["inputSchema"]
+        assert tool["description"] and schema["type"] == "object" and set(schema["required"]) <= set(schema["properties"])
+    for arguments in ({"limit": "5"}, {"limit": 0}, {"limit": True}, {"mode": "all"}, {"cluster_guid": 7}):
+        asked = {"jsonrpc": "2.0", "id": 2, "method": "tools/call", "params": {"name": "logc_get_event_log", "arguments": arguments}}
+        assert own.answer(json.dumps(asked))["error"]["code"] == service.INVALID_PARAMS
+    assert service.checked_arguments("logc_get_techlog_config", {"config_path": "/x"})["config"] == "/x"
