@@ -34,12 +34,13 @@ def alike(a: Column, b: Column) -> Column:
 def compared(expected: DataFrame, actual: DataFrame, order: list[str], time: str, texts: list[str], tolerance: int = 60) -> DataFrame:
     """Both sides zipped by place: ``place, status, differs`` (names of fields that do not agree).
 
-    Times agree within ``tolerance`` seconds; a record without a partner is ``missing`` or ``extra``.
+    Times agree within ``tolerance`` seconds, fractions counted; a record without a partner is ``missing`` or ``extra``.
     """
     a = numbered(expected.select(*{*order, time, *texts}), order).select("place", *(F.col(c).alias(f"a_{c}") for c in [time, *texts]), F.lit(True).alias("in_a"))
     b = numbered(actual.select(*{*order, time, *texts}), order).select("place", *(F.col(c).alias(f"b_{c}") for c in [time, *texts]), F.lit(True).alias("in_b"))
     both = a.join(b, "place", "full_outer")
-    late = F.abs(F.unix_timestamp(f"a_{time}") - F.unix_timestamp(f"b_{time}")) > tolerance
+    micros = lambda side: F.unix_micros(F.col(f"{side}_{time}").cast("timestamp"))
+    late = F.abs(micros("a") - micros("b")) > tolerance * 1_000_000
     off = [F.when(late, F.lit(time)), *(F.when(~alike(F.coalesce(F.col(f"a_{c}"), F.lit("")), F.coalesce(F.col(f"b_{c}"), F.lit(""))), F.lit(c)) for c in texts)]
     differs = F.filter(F.array(*off), lambda x: x.isNotNull())
     status = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "extra").when(F.size(differs) > 0, "differs").otherwise("same")

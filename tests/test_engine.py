@@ -166,6 +166,16 @@ def test_repeated_rows_and_comparison(spark):
     assert got == {1: ("same", []), 2: ("same", []), 3: ("differs", ["x"]), 4: ("differs", ["t"]), 5: ("missing", [])}
 
 
+def test_fractions_of_a_second_count_in_the_tolerance(spark):
+    at = datetime(2024, 1, 1)
+    moved = [timedelta(seconds=60), timedelta(seconds=60, microseconds=1), timedelta(seconds=60, microseconds=900_000), timedelta(seconds=59, microseconds=999_999)]
+    a = spark.createDataFrame([(k, at, "") for k in range(4)], "k int, t timestamp, x string")
+    for sign in (1, -1):
+        b = spark.createDataFrame([(k, at + sign * by, "") for k, by in enumerate(moved)], "k int, t timestamp, x string")
+        got = {r.place: r.status for r in compare.compared(a, b, ["k"], "t", ["x"]).collect()}
+        assert got == {1: "same", 2: "differs", 3: "differs", 4: "same"}
+
+
 SF = "/root/testdata/sf0.001"
 
 
