@@ -35,11 +35,19 @@ def event_log(rows: DataFrame, cluster: str, infobase: str, window, level: str |
     return found.orderBy(F.desc("event_time"), "record_hash").limit(bounded(limit)).select(FULL_EVENT if mode == "full" else MINIMAL_EVENT)
 
 
-def tech_log(rows: DataFrame, cluster: str, infobase: str, window, name: str | None = None, mode: str = "minimal", limit: int | None = None) -> DataFrame:
-    """The latest trace rows of an infobase in a time window; only the full mode reads whole lines."""
+def tech_scope(rows: DataFrame, cluster: str, infobase: str, window, name: str | None = None) -> DataFrame:
     found = scoped(rows, cluster, infobase, window, "ts")
-    if name:
-        found = found.where(F.col("name") == name)
+    return found.where(F.col("name") == name) if name else found
+
+
+def tech_rows(rows: DataFrame, cluster: str, infobase: str, window, name: str | None = None, mode: str = "minimal") -> DataFrame:
+    """All trace rows of an infobase in a time window, in no order; only the full mode reads whole lines."""
+    return tech_scope(rows, cluster, infobase, window, name).select(FULL_TECH if mode == "full" else MINIMAL_TECH)
+
+
+def tech_log(rows: DataFrame, cluster: str, infobase: str, window, name: str | None = None, mode: str = "minimal", limit: int | None = None) -> DataFrame:
+    """The latest of ``tech_rows``, as many as an answer of the tool may have."""
+    found = tech_scope(rows, cluster, infobase, window, name)
     return found.orderBy(F.desc("ts"), "record_hash").limit(bounded(limit)).select(FULL_TECH if mode == "full" else MINIMAL_TECH)
 
 

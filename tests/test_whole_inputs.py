@@ -8,6 +8,7 @@ from pyspark.sql.streaming import DataStreamReader
 
 from __spark_entry__ import queries
 from loamline.operators import compare
+from loamline.plans import tools
 from loamline.sources import journal
 from loamline.streaming import tail
 
@@ -25,6 +26,22 @@ def test_every_event_is_compared(spark):
     assert sum(r.status == "missing" for r in got) == events.where("event_id % 3 = 1 and event_id >= 5000").count()
 
 
+@pytest.fixture(scope="module")
+def many_errors(spark, tmp_path_factory):
+    """More events of one kind in one infobase than an answer of the tools may have."""
+    where = tmp_path_factory.mktemp("errors")
+    stamp = F.timestamp_seconds(F.lit(1_704_100_000) + F.col("id")).cast("timestamp_ntz")
+    rows = spark.range(tools.MOST + 500).select(F.col("id").alias("event_id"), stamp.alias("ts"), F.lit(0).cast("long").alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.5).alias("value"), F.lit("{}").alias("props"))
+    rows.write.parquet(f"{where}/events.parquet")
+    return str(where)
+
+
+@pytest.mark.parametrize("name", ["tool_tech_log_full"])
+def test_every_trace_row_in_scope_is_returned(spark, many_errors, name):
+    got = queries()[name](spark, many_errors)
+    assert got.agg(F.count("ts"), F.countDistinct("ts")).first()[:] == (tools.MOST + 500,) * 2
+
+
 def test_numbering_loses_no_row(spark):
     rows = spark.range(300_000).select(F.when(F.col("id") % 1000 > 0, F.col("id")).alias("k"), F.repeat(F.lit("x"), 40).alias("v"))
     found = compare.numbered(rows, ["k"]).agg(F.count("place"), F.min("place"), F.max("place"), F.countDistinct("place")).first()
