@@ -1,16 +1,19 @@
 """URL filter: host and path rules, and a character language-model ratio for the rest.
 
-URLs that a rule settles are the labelled examples.  From a bounded sample of them two
-variable-order Markov models are counted, one for accepted and one for rejected URLs.
-Each smooths a context with the next shorter one (Dirichlet prior of ``PRIOR`` counts, down
-to the uniform distribution).  The log-ratios of all counted sequences are stored in a
-table of slots, one for each sequence on average; a slot lists all sequences that share it,
-so only a sequence never seen is scored in its next shorter context.  A URL's score is the
-log-likelihood difference per character; its threshold is the one with the best balanced
-accuracy on all labelled URLs that were not counted.
-
-DataFrame functions only; URLs are scored in one narrow pass, for the table is one value;
-what it holds is bounded by the sample.
+URLs that a rule settles are the labelled examples.  A fifth of them, told by a hash of the
+URL, is held for the threshold; from all others two variable-order Markov models are
+counted, one for accepted and one for rejected URLs.  Each smooths a context with the next
+shorter one (Dirichlet prior of ``PRIOR`` counts, down to the uniform distribution).  A
+URL's score is the log-likelihood difference per character, where a sequence never seen is
+scored in its next shorter context; its threshold is the one with the best balanced
+accuracy on all held URLs.
+
+That score is a sum over the characters of what the longest counted sequence that ends there
+gives, so sequences can be dealt by their ends over several tables of about ``HELD``, which
+are applied one after another.  A table is one value with a slot for each sequence on
+average; a slot lists all sequences that share it.
+
+DataFrame functions only; URLs are scored in one narrow pass for each table.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ Rule = tuple[str, str, str]
 ORDER = 5
 #: Prior counts of a context; classes of scores for the threshold.
 PRIOR, STEPS = 4.0, 400
-#: Expected most labelled URLs of a class that are counted; all below that.
-EXAMPLES = 200_000
+#: Sequences that one table holds at most, about; more are dealt over several.
+HELD = 500_000
+#: Characters at a sequence's end that tell its table.
+END = 3
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,10 +66,12 @@ def slot(gram: Column, slots: Column) -> Column:
 
 
 def models(stash: Stash, examples: DataFrame) -> DataFrame:
-    """One row per counted sequence: ``slot`` (its hash), ``gram, ratio, back``, from ``text, accepted``.
+    """One row per counted sequence: ``slot`` (its hash), ``gram, ratio, back, gain, inner``, from ``text, accepted``.
 
     ``ratio`` is log p(last character | those before it) in the accepted model minus the
-    same in the rejected one; ``back`` is what a step to the next shorter context adds.
+    same in the rejected one; ``back`` is what a step to the next shorter context adds;
+    ``gain`` is ``ratio`` less all such steps to its last character, ``inner`` that and all
+    steps to the next one: a text has the ``inner`` of each character, and ``gain`` of its last.
     """
     every = F.explode(F.sequence(F.lit(ORDER), F.length("text")))
     ends = examples.select("accepted", "text", every.alias("end"))
@@ -91,44 +98,82 @@ def models(stash: Stash, examples: DataFrame) -> DataFrame:
         else:
             own = own.withColumn("back", F.lit(0.0))
         rows = own if rows is None else rows.unionByName(own)
-    return rows.select(F.xxhash64("gram").alias("slot"), "gram", "ratio", F.coalesce("back", F.lit(0.0)).alias("back"))
-
-
-def as_value(rows: DataFrame) -> DataFrame:
-    """The table as one value: an array with as many slots as ``rows``, each the array of its entries."""
+    rows = stash.save(rows.select(F.xxhash64("gram").alias("slot"), "gram", "ratio", F.coalesce("back", F.lit(0.0)).alias("back")), "ratios")
+    # All steps from a context: its own and those of its ends, which are counted too; padding may not be.
+    padding = rows.sparkSession.range(1, ORDER).select(F.expr("repeat('^', cast(id as int))").alias("gram"), F.lit(0.0).alias("back"))
+    contexts = rows.where(F.length("gram") < ORDER).select("gram", "back").unionByName(padding).groupBy("gram").agg(F.sum("back").alias("back"))
+    own = [contexts.where(F.length("gram") == n).select(F.col("gram").alias("context"), F.col("back").alias("steps")) for n in range(1, ORDER)]
+    steps = [own[0]]
+    for longer in own[1:]:
+        shorter = steps[-1].select(F.col("context").alias("end"), F.col("steps").alias("more"))
+        steps.append(longer.withColumn("end", F.expr("substring(context, 2)")).join(shorter, "end").select("context", (F.col("steps") + F.col("more")).alias("steps")))
+    every = steps[0]
+    for some in steps[1:]:
+        every = every.unionByName(some)
+    every = stash.save(every, "steps")
+    before = every.select(F.col("context").alias("before"), F.col("steps").alias("taken"))
+    rows = rows.withColumns({"before": F.expr("substring(gram, 1, length(gram) - 1)"), "context": F.expr(f"right(gram, {ORDER - 1})")})
+    rows = rows.join(before, "before", "left").join(every, "context").withColumn("gain", F.col("ratio") - F.coalesce("taken", F.lit(0.0)))
+    return rows.select("slot", "gram", "ratio", "back", "gain", (F.col("gain") + F.col("steps")).alias("inner"))
+
+
+def dealt(gram: Column, parts: int) -> Column:
+    """The part of the table that has the sequences with this end; those shorter than it are in all."""
+    return F.pmod(F.xxhash64(F.right(gram, F.lit(END))), F.lit(parts))
+
+
+def as_value(rows: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """A part of the table as one value: an array with as many slots as sequences, each the array of its entries."""
+    if parts > 1:
+        rows = rows.where((F.length("gram") < END) | (dealt(F.col("gram"), parts) == part))
     spark, size = rows.sparkSession, max(1, rows.count())
-    entries = rows.select(slot(F.col("gram"), F.lit(size)).alias("at"), F.struct("gram", "ratio", "back").alias("entry"))
+    entries = rows.select(slot(F.col("gram"), F.lit(size)).alias("at"), F.struct("gram", "gain", "inner").alias("entry"))
     held = entries.groupBy("at").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     slots = spark.range(size).select(F.col("id").cast("int").alias("at")).join(held, "at", "left")
     ordered = slots.agg(F.sort_array(F.collect_list(F.struct("at", "entries"))).alias("table"))
     return ordered.select(F.col("table.entries").alias("table"))
 
 
-def score(text: Column, table: Column) -> Column:
+def score(text: Column, table: Column, part: int = 0, parts: int = 1) -> Column:
     """Log-likelihood difference per character of a folded URL; 0 for one without characters.
 
-    The table is bound to a lambda's variable, so that the plan holds its value once.
+    Of several parts each gives the share of the characters that are dealt to it.  The table
+    is bound to a lambda's variable, so that the plan holds its value once.
     """
 
-    def at(end: Column, size: int, table: Column, text: Column) -> Column:
-        gram = F.substring(text, end - (size - 1), F.lit(size))
-        entries = F.element_at(table, slot(gram, F.size(table)) + 1)
-        return F.get(F.filter(entries, lambda entry: entry["gram"] == gram), F.lit(0))
-
     def summed(table: Column) -> Column:
+        def longest(end: Column, most: int, value) -> Column:
+            def entry(size: int) -> Column:
+                gram = F.substring(text, end - (size - 1), F.lit(size))
+                return F.get(F.filter(F.get(table, slot(gram, F.size(table))), lambda entry: entry["gram"] == gram), F.lit(0))
+
+            return F.coalesce(*(value(entry(n)) for n in range(most, 0, -1)), F.lit(0.0))
+
         def step(total: Column, end: Column) -> Column:
-            value = F.lit(0.0)
-            for n in range(1, ORDER + 1):
-                hit = at(end, n, table, text)
-                value = F.coalesce(hit["ratio"], value if n == 1 else value + F.coalesce(at(end - 1, n - 1, table, text)["back"], F.lit(0.0)))
+            # Padding gives the steps to the first character only.
+            first = F.when(end < ORDER, longest(end, ORDER - 1, lambda x: x["inner"] - x["gain"]))
+            value = first.when(end == F.length(text), longest(end, ORDER, lambda x: x["gain"])).otherwise(longest(end, ORDER, lambda x: x["inner"]))
+            if parts > 1:
+                value = F.when(dealt(F.substring(text, end - (END - 1), F.lit(END)), parts) == part, value).otherwise(0.0)
             return total + value
 
-        return F.aggregate(F.sequence(F.lit(ORDER), F.length(text)), F.lit(0.0), step)
+        return F.aggregate(F.sequence(F.lit(ORDER - 1), F.length(text)), F.lit(0.0), step)
 
     size = F.length(text) - (ORDER - 1)
     return F.when(size > 0, F.transform(F.array(table), summed)[0] / size).otherwise(0.0)
 
 
+def scored(stash: Stash, rows: DataFrame, text: Column, tables: list[DataFrame], name: str) -> DataFrame:
+    """``rows`` with ``score``; between two tables they are written, so that no task holds more than one."""
+    for part, table in enumerate(tables):
+        share = score(text, F.col("slot_table"), part, len(tables))
+        rows = rows.withColumn("slot_table", table.scalar()).withColumn("score", F.col("score") + share if part else share).drop("slot_table")
+        if part < len(tables) - 1:
+            rows = stash.save(rows, f"{name}{part}")
+            stash.drop(*[f"{name}{part - 1}"] * (part > 0))
+    return rows
+
+
 def threshold(scored: DataFrame) -> DataFrame:
     """The lower bound of accepted scores with the best balanced accuracy, from ``score, accepted``."""
     steps = scored.groupBy(F.floor(F.col("score") * STEPS).alias("step")).agg(F.sum(F.col("accepted").cast("double")).alias("a"), F.sum((~F.col("accepted")).cast("double")).alias("r"))
@@ -139,7 +184,7 @@ def threshold(scored: DataFrame) -> DataFrame:
     return steps.agg((F.max_by("step", F.struct("gain", -F.col("step"))) / STEPS).alias("threshold"))
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", examples: int = EXAMPLES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict, score``; columns of these names are replaced.
 
     A rule's verdict counts; the others are allowed if their score reaches the threshold.
@@ -153,14 +198,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", ex
     host, path = host_and_path(url)
     rule, verdict = ruled(host, path, rules)
     labelled = pages.select(url.alias("url"), (verdict == "allow").alias("accepted")).where(F.col("accepted").isNotNull())
-    there = {r["accepted"]: r["n"] for r in labelled.groupBy("accepted").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.when(F.col("accepted"), min(1.0, examples / max(1, there.get(True, 0)))).otherwise(min(1.0, examples / max(1, there.get(False, 0))))
-    dice = F.pmod(F.xxhash64("url", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    labelled = labelled.select("accepted", folded(F.col("url")).alias("text"), F.coalesce((dice >= share) | (F.pmod(F.xxhash64("url"), F.lit(5)) == 0), F.lit(True)).alias("held"))
-    table = stash.save(as_value(stash.save(models(stash, labelled.where(~F.col("held")).select("accepted", "text")), "slots")), "table")
-    held = labelled.where("held").select("accepted", "text", table.scalar().alias("table"))
-    limit = stash.save(threshold(held.select("accepted", score(F.col("text"), F.col("table")).alias("score"))), "threshold")
-    out = pages.withColumns({"host": host, "path": path, "rule": rule, "slot_table": table.scalar()})
-    out = out.withColumn("score", score(folded(url), F.col("slot_table"))).drop("slot_table")
+    labelled = labelled.select("accepted", folded(F.col("url")).alias("text"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held"))
+    model = stash.save(models(stash, labelled.where(~F.col("held")).select("accepted", "text")), "slots")
+    parts = max(1, -(-model.count() // HELD))
+    tables = [stash.save(as_value(model, part, parts), f"table{part}") for part in range(parts)]
+    held = scored(stash, labelled.where("held").select("accepted", "text"), F.col("text"), tables, "held")
+    limit = stash.save(threshold(held), "threshold")
+    out = scored(stash, pages.withColumns({"host": host, "path": path, "rule": rule}), folded(url), tables, "pages")
     passed = F.when(F.col("score") >= F.coalesce(limit.scalar(), F.lit(0.0)), "allow").otherwise("block")
     return out.withColumn("verdict", F.coalesce(verdict, passed))

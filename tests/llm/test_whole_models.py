@@ -71,3 +71,33 @@ def test_threshold_and_verdicts_equal_the_definition(spark):
         if got[k].rule is None and abs(score(url) - best) > 1e-9:
             assert got[k].verdict == ("allow" if score(url) >= best else "block")
     assert {got[k].verdict for k in got if got[k].rule is None} == {"allow", "block"}
+
+
+def test_every_labelled_url_is_counted_or_held(spark, monkeypatch):
+    asked, models = [], url_filter.models
+
+    def counted(stash, examples):
+        asked.append(examples.count())
+        return models(stash, examples.limit(40))
+
+    monkeypatch.setattr(url_filter, "models", counted)
+    pages = spark.range(450_000).select(F.when(F.col("id") % 2 == 0, "a://com/").otherwise("b://net/").alias("url"), "id").select(F.concat("url", "id").alias("url"))
+    url_filter.filter_urls(pages, [("com", "/", "allow"), ("net", "/", "block")])
+    assert asked == [pages.where(F.pmod(F.xxhash64("url"), F.lit(5)) != 0).count()]
+
+
+def test_a_model_dealt_over_several_tables_scores_alike(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+    urls = [f"http://{word('abcdefg')}.com/{word('abcxyz')}" for _ in range(90)] + [f"http://{word('defghij')}.net/{word('pqxyz')}" for _ in range(90)]
+    urls += [f"http://{word('abcdefghij')}.org/^{word('abcpqxyz')}" for _ in range(60)] + [None, "", "^", "^^^^a", "x"]
+    pages = spark.createDataFrame([(k, u, 7) for k, u in enumerate(urls)], "page_id long, url string, score int")
+    rules = [("com", "/", "allow"), ("net", "/", "block")]
+    whole = {r.page_id: r for r in url_filter.filter_urls(pages, rules).collect()}
+    monkeypatch.setattr(url_filter, "HELD", 900)
+    calls, as_value = [], url_filter.as_value
+    monkeypatch.setattr(url_filter, "as_value", lambda rows, part, parts: calls.append(parts) or as_value(rows, part, parts))
+    dealt = {r.page_id: r for r in url_filter.filter_urls(pages, rules).collect()}
+    assert len(calls) > 2 and set(calls) == {len(calls)} and len(dealt) == len(urls)
+    for k, r in whole.items():
+        assert dealt[k].score == pytest.approx(r.score, abs=1e-9) and dealt[k].verdict == r.verdict
