@@ -28,6 +28,8 @@ from .common import Stash
 
 #: Rows that one salted group numbers, about.
 GROUP_ROWS = 50_000
+#: Bytes of ids after which the pieces made so far are handed on.
+BATCH_BYTES = 8 << 20
 
 
 def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
@@ -149,7 +151,7 @@ class Plan:
 
 
 def encoded(docs: DataFrame, path: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: tokens, the CRC-32 of each full window, the remainder's ids, and ``turn``.
+    """Per row: tokens, all their ids (of two bytes each where the vocabulary allows it), and ``turn``.
 
     ``turn`` is the row's number in its task; equal rows differ in it, so that they are
     numbered in many groups.  It is stored with the row: what is read later agrees.
@@ -157,29 +159,28 @@ def encoded(docs: DataFrame, path: str, window: int, end_id: int, id_col: str, t
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, seen = byte_pairs(path), 0
+        kind = "<u4" if max(len(pairs.sizes) - 1, end_id) >= 1 << 16 else "<u2"
         for batch in batches:
-            tokens, crcs, rest = [], [], []
+            tokens, every = [], []
             turn, seen = pa.array(range(seen, seen + len(batch)), pa.int64()), seen + len(batch)
             for cell in batch.column(1):
-                ids = np.append(pairs.ids(cell.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                full = len(ids) // window
+                ids = np.append(pairs.ids(cell.as_py() or ""), np.uint32(end_id)).astype(kind)
                 tokens.append(len(ids))
-                crcs.append([zlib.crc32(ids[k * window : (k + 1) * window]) for k in range(full)])
-                rest.append(ids[full * window :].astype("<u4" if len(pairs.sizes) > 1 << 16 else "<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary()), turn], ["id", "tokens", "crcs", "rest", "turn"])
+                every.append(ids.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(every, pa.binary()), turn], ["id", "tokens", "ids", "turn"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(encode, f"id {kind}, tokens long, crcs array<long>, rest binary, turn long")
+    return docs.select(id_col, text_col).mapInArrow(encode, f"id {kind}, tokens long, ids binary, turn long")
 
 
 def numbered(rows: DataFrame, window: int, groups: int) -> DataFrame:
     """``rows`` with ``rank`` within their remainder's length and ``before``: full windows of earlier rows."""
     rows = rows.withColumns({"length": F.col("tokens") % window, "full": F.floor(F.col("tokens") / window)})
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.crc32("rest"), "turn"), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.crc32("ids"), "turn"), F.lit(groups)).cast("int"))
     sizes = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("f"))
     by_salt = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns({"rank0": F.coalesce(F.sum("n").over(by_salt), F.lit(0)), "full0": F.coalesce(F.sum("f").over(by_salt), F.lit(0))}).drop("n", "f")
-    own = Window.partitionBy("length", "salt").orderBy("id", "tokens", "rest", "crcs", "turn")
+    own = Window.partitionBy("length", "salt").orderBy("id", "tokens", "ids", "turn")
     earlier = own.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"r": F.row_number().over(own) - 1, "b": F.coalesce(F.sum("full").over(earlier), F.lit(0))})
     return rows.join(sizes, ["length", "salt"]).withColumns({"rank": F.col("rank0") + F.col("r"), "before": F.col("full0") + F.col("b")})
@@ -188,9 +189,9 @@ def numbered(rows: DataFrame, window: int, groups: int) -> DataFrame:
 def pack(docs: DataFrame, path: str, *, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
-    ``ids`` (little-endian uint32) is null for full windows, whose ids are the tokens from
-    ``start``; ``ids_crc32`` covers the ids of every piece.  Null and empty texts are one
-    end id; a text of any length is encoded whole.  Repeated rows are packed each on its
+    ``ids`` (little-endian uint32) are the ids of the piece, so that the pieces of a sequence,
+    by ``offset``, are its content; ``ids_crc32`` is their CRC-32.  Null and empty texts are
+    one end id; a text of any length is encoded whole.  Repeated rows are packed each on its
     own, also those without an id, whose pieces have a null id; an empty table gives no
     pieces; further columns are not read.
     """
@@ -213,22 +214,32 @@ def pack(docs: DataFrame, path: str, *, window: int = 1024, end_id: int = 0, id_
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, first = plan.value
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                doc, tokens, length = row["id"], row["tokens"], row["length"]
-                sequence = int(first[length]) + row["before"]
-                for k, crc in enumerate(row["crcs"]):
-                    out.append((doc, k * window, window, crc, tokens, sequence + k, 0, None))
-                if length:
-                    ids = np.frombuffer(row["rest"], f"<u{len(row['rest']) // length}").astype("<u4")
-                    for start, size, sequence, offset in made.place(length, row["rank"]):
-                        own = ids[start : start + size].tobytes()
-                        out.append((doc, tokens - length + start, size, zlib.crc32(own), tokens, sequence, offset, own))
+        names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+
+        def record(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [[]] * 8
-            names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-            kinds = [batch.schema.field("id").type, *[pa.int64()] * 6, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            kinds = [kind, *[pa.int64()] * 6, pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    rows = numbered(rows, window, groups).select("id", "tokens", "crcs", "rest", "length", "rank", "before")
+        for batch in batches:
+            out, held, of_id = [], 0, batch.schema.field("id").type
+            columns = [batch.column(c) for c in ("id", "tokens", "length", "before", "rank", "ids")]
+            for cells in zip(*columns, strict=True):
+                doc, tokens, length, before, rank, stored = (c.as_py() for c in cells)
+                ids = np.frombuffer(stored, f"<u{len(stored) // tokens}").astype("<u4")
+                sequence, places = int(first[length]) + before, []
+                for k in range(tokens // window):
+                    places.append((k * window, window, sequence + k, 0))
+                if length:
+                    places += ((tokens - length + start, size, at, offset) for start, size, at, offset in made.place(length, rank))
+                for start, size, at, offset in places:
+                    own = ids[start : start + size].tobytes()
+                    out.append((doc, start, size, zlib.crc32(own), tokens, at, offset, own))
+                    held += len(own)
+                    if held > BATCH_BYTES:
+                        yield record(out, of_id)
+                        out, held = [], 0
+            yield record(out, of_id)
+
+    rows = numbered(rows, window, groups).select("id", "tokens", "ids", "length", "rank", "before")
     return rows.mapInArrow(pieces, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary").withColumnRenamed("id", id_col)

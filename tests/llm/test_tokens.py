@@ -93,6 +93,18 @@ def test_packing_places_every_id_once(spark):
     assert packing.pack(frame(spark, []), PATH).collect() == []
 
 
+def test_sequences_have_the_ids_of_all_their_pieces(spark, monkeypatch):
+    """The content of every sequence, also of those that one document fills."""
+    monkeypatch.setattr(packing, "BATCH_BYTES", 1000)
+    rows, library = awkward_rows(), Tokenizer.from_file(PATH)
+    want = {i: {(*library.encode(t or "", add_special_tokens=False).ids, 0) for k, t, *_ in rows if k == i} for i, *_ in rows}
+    pieces = packing.pack(frame(spark, rows), PATH, window=64).collect()
+    assert any(p.length == 64 for p in pieces)
+    for p in pieces:
+        own = tuple(np.frombuffer(p.ids, "<u4").tolist())
+        assert len(own) == p.length and any(own == ids[p.start : p.start + p.length] for ids in want[p.doc_id])
+
+
 def test_very_long_texts_are_packed_and_counted(spark):
     rows = [(1, LONG["spaces"], "en", "s0"), (2, LONG["tabs"], "en", "s0"), (3, "word " * 1_000_000, "en", "s0")]
     library = Tokenizer.from_file(PATH)
